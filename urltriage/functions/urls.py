@@ -24,10 +24,6 @@ def url_host(url: Column) -> Column:
     return F.lower(F.trim(F.translate(host, "[]", "")))
 
 
-def url_port(url: Column) -> Column:
-    return F.regexp_extract(url_netloc(url), r":([0-9]+)$", 1)
-
-
 def url_raw_path(url: Column) -> Column:
     return F.regexp_extract(F.ltrim(url), rf"^(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)", 1)
 
@@ -37,10 +33,6 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(url_raw_path(url), r";[^/]*$", "")
 
 
-def url_query(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[^?#]*[?]([^#]*)", 1)
-
-
 def is_https_scheme(url: Column) -> Column:
     return url_scheme(url) == "https"
 
@@ -65,24 +57,17 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def normalize_url(url: Column, keep_query: bool = False) -> Column:
-    """Key under which two spellings of a URL count as the same."""
-    u = F.trim(url)
-    scheme, host, port = url_scheme(u), url_host(u), url_port(u)
-    default_port = (
-        (port == "")
-        | ((scheme == "http") & (port == "80"))
-        | ((scheme == "https") & (port == "443"))
-    )
-    authority = F.concat(host, F.when(default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
-    prefix = F.when(host == "", F.lit("")).otherwise(
-        F.concat(F.when(scheme == "", F.lit("//")).otherwise(F.concat(scheme, F.lit("://"))), authority)
-    )
-    bare = F.when(host == "", F.regexp_extract(u, r"^([^?#]*)", 1)).otherwise(url_raw_path(u))
-    key = F.concat(prefix, F.regexp_replace(bare, r"/+$", ""))
-    if keep_query:
-        query = url_query(u)
-        key = F.when(query == "", key).otherwise(F.concat(key, F.lit("?"), query))
-    return key
+    """Key under which two spellings of a URL count as the same.
+
+    Lowercased scheme and host; no user info, default port, fragment, query
+    (unless kept) or trailing slash.
+    """
+    u = F.regexp_replace(F.trim(url), "#.*$" if keep_query else "[?#].*$", "")
+    u = F.regexp_replace(u, rf"^({_SCHEME}:)?//[^/?#]*@", "$1//")
+    u = F.regexp_replace(u, r"(?i)^(http://[^/?#]*):80(?=[/?]|$)|^(https://[^/?#]*):443(?=[/?]|$)", "$1$2")
+    u = F.regexp_replace(u, r"/+(?=[?]|$)" if keep_query else "/+$", "")
+    root = rf"^(?:{_SCHEME}:)?//[^/?#]*"
+    return F.concat(F.lower(F.regexp_extract(u, root, 0)), F.regexp_replace(u, root, ""))
 
 
 def with_normalized_url(

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,47 +17,14 @@ from urltriage.functions.similarity import (
 from urltriage.functions.text import (
     BRAND_SEPARATORS,
     as_timestamp,
+    contains_any,
     text_array,
     whole_days,
     word_tokens,
 )
 from urltriage.functions.urls import starts_with_https, url_path
 from urltriage.operators.keyed import latest_per_key
-
-
-@dataclass(frozen=True)
-class Rule:
-    when: Column
-    points: Column | int
-    reason: Column | str | None
-    strong: bool = False
-
-    def fires(self) -> Column:
-        return F.coalesce(self.when, F.lit(False))
-
-
-def _lit(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
-
-
-def total_points(rules: Sequence[Rule]) -> Column:
-    total = F.lit(0)
-    for r in rules:
-        total = total + F.when(r.fires(), _lit(r.points)).otherwise(F.lit(0))
-    return total
-
-
-def reason_list(rules: Sequence[Rule]) -> Column:
-    texts = [F.when(r.fires(), _lit(r.reason)) for r in rules if r.reason is not None]
-    return F.array_compact(F.array(*texts)) if texts else text_array([])
-
-
-def any_strong(rules: Sequence[Rule]) -> Column:
-    result = F.lit(False)
-    for r in rules:
-        if r.strong:
-            result = result | r.fires()
-    return result
+from urltriage.operators.rules import Rule, fire
 
 
 def similar_known_domains(base: Column) -> Column:
@@ -80,29 +47,21 @@ def similar_known_domains(base: Column) -> Column:
 
 def brand_present(brands: Sequence[str] | None) -> Column:
     """Brand named in domain, title, snippet or path, as substring or as token."""
-    found = F.lit(False)
-    for brand in brands or ():
-        if not brand:
-            continue
-        b = brand.strip().lower()
-        for name in ("_base", "_title", "_snippet", "_path"):
-            found = found | F.contains(F.col(name), F.lit(b))
-        tokens = F.split(F.lit(b), BRAND_SEPARATORS)
-        found = found | F.coalesce(F.arrays_overlap("_tokens", tokens), F.lit(False))
-    return found
+    names = [b.strip().lower() for b in brands or () if b and b.strip()]
+    if not names:
+        return F.lit(False)
+    tokens = {t for b in names for t in re.split(BRAND_SEPARATORS, b) if t}
+    # The line break keeps a match from running across two of the texts.
+    texts = F.concat_ws("\n", "_base", "_title", "_snippet", "_path")
+    shared = F.arrays_overlap("_tokens", text_array(sorted(tokens)))
+    return contains_any(texts, names) | F.coalesce(shared, F.lit(False))
 
 
-def _facts_rules(as_of) -> list[Rule]:
+def _facts_rules() -> list[Rule]:
     age, suffix = F.col("_age"), F.col("suffix")
     ttl = F.col("ttl").try_cast("int")
     ips = F.size(F.coalesce("ip", text_array([])))
-    nameservers = F.transform(F.coalesce("ns_records", text_array([])), lambda x: F.lower(x))
-
-    def trusted(ns: Column) -> Column:
-        hit = F.lit(False)
-        for word in C.TRUSTED_NAMESERVER_WORDS:
-            hit = hit | F.contains(ns, F.lit(word))
-        return hit
+    nameservers = F.lower(F.array_join(F.coalesce("ns_records", text_array([])), "\n"))
 
     return [
         Rule(
@@ -145,7 +104,7 @@ def _facts_rules(as_of) -> list[Rule]:
         Rule(ips == 0, C.NO_IP_POINTS, "No resuelve IP", strong=True),
         Rule(F.col("ns_count") <= 1, C.FEW_NS_POINTS, "Pocos NS records", strong=True),
         Rule(
-            (F.size(nameservers) > 0) & ~F.exists(nameservers, trusted),
+            (nameservers != "") & ~contains_any(nameservers, C.TRUSTED_NAMESERVER_WORDS),
             C.UNTRUSTED_NS_POINTS,
             "Nameservers no confiables",
         ),
@@ -154,7 +113,7 @@ def _facts_rules(as_of) -> list[Rule]:
     ]
 
 
-def _word_rules() -> tuple[list[Rule], list[Rule], list[Rule]]:
+def _word_rules() -> list[Rule]:
     brand, strong0, strong1 = F.col("_brand"), F.col("_strong0"), F.col("_strong1")
     hc, promo, urgency = F.col("_hc"), F.col("_promo"), F.col("_urgency")
 
@@ -201,7 +160,7 @@ def _word_rules() -> tuple[list[Rule], list[Rule], list[Rule]]:
         Rule((n_urgency > 0) & backed, n_urgency * C.URGENCY_POINTS, named("Keywords urgencia: ", urgency)),
         Rule((n_urgency > 0) & ~backed, C.URGENCY_ALONE_POINTS, None),
     ]
-    return high, promotional, urgent
+    return [*high, *promotional, *urgent]
 
 
 def score_domain(
@@ -236,14 +195,10 @@ def score_domain(
     def hits(words) -> Column:
         return F.array_sort(F.array_intersect("_tokens", text_array(words)))
 
-    facts = _facts_rules(as_of)
     labels = F.split(F.coalesce("domain", F.lit("")), "[.]")
     sub = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), ".")
     out = out.withColumns(
         {
-            "_points0": total_points(facts),
-            "_reasons0": reason_list(facts),
-            "_strong0": any_strong(facts),
             "_brand": brand_present(brands),
             "_hc": hits(C.HIGH_CONFIDENCE_WORDS),
             "_promo": hits(C.PROMO_WORDS),
@@ -252,36 +207,28 @@ def score_domain(
             "_sub": F.when(F.size(labels) > 3, sub).otherwise(F.lit("")),
         }
     )
+    out, facts = fire(out, _facts_rules(), "_f")
     # Later rules read the flag as it stands after the earlier ones.
+    out = out.withColumn("_strong0", facts.strong())
     out = out.withColumn("_strong1", F.col("_strong0") | ((F.size("_hc") > 0) & F.col("_brand")))
-    high, promotional, urgent = _word_rules()
-    suspicious_sub = F.lit(False)
-    for word in C.SUSPICIOUS_SUBDOMAIN_WORDS:
-        suspicious_sub = suspicious_sub | F.contains("_sub", F.lit(word))
-    sub_rule = [
-        Rule(
-            suspicious_sub,
-            C.SUSPICIOUS_SUBDOMAIN_POINTS,
-            F.concat(F.lit("Subdominio sospechoso: "), F.col("_sub")),
-        )
-    ]
+    out, words = fire(out, _word_rules(), "_w")
     similar_reasons = F.transform(
         "_similar", lambda k: F.concat(F.lit("Similar a "), k, F.lit(" (typosquatting posible)"))
     )
-    words = [*high, *promotional, *urgent]
-    out = out.withColumns(
+    sub_reason = F.when(
+        F.col("_bad_sub"), F.array(F.concat(F.lit("Subdominio sospechoso: "), F.col("_sub")))
+    ).otherwise(text_array([]))
+    out = out.withColumn("_bad_sub", contains_any(F.col("_sub"), C.SUSPICIOUS_SUBDOMAIN_WORDS)).withColumns(
         {
             "_score": F.least(
                 F.lit(100),
-                F.col("_points0")
-                + total_points(words)
+                facts.points()
+                + words.points()
                 + F.size("_similar") * C.SIMILAR_DOMAIN_POINTS
-                + total_points(sub_rule),
+                + F.when(F.col("_bad_sub"), F.lit(C.SUSPICIOUS_SUBDOMAIN_POINTS)).otherwise(F.lit(0)),
             ).cast("int"),
-            "_reasons1": F.concat(
-                F.col("_reasons0"), reason_list(words), similar_reasons, reason_list(sub_rule)
-            ),
-            "_strong2": F.col("_strong1") | (F.size("_similar") > 0) | any_true(sub_rule),
+            "_reasons1": F.concat(facts.reasons(), words.reasons(), similar_reasons, sub_reason),
+            "_strong2": F.col("_strong1") | (F.size("_similar") > 0) | F.col("_bad_sub"),
         }
     )
     over = F.col("_score") >= threshold
@@ -316,13 +263,6 @@ def score_domain(
     )
 
 
-def any_true(rules: Sequence[Rule]) -> Column:
-    result = F.lit(False)
-    for r in rules:
-        result = result | r.fires()
-    return result
-
-
 def verdict_facts(scored: DataFrame, as_of) -> DataFrame:
     """Verdict per domain for the facts table (last site in search order wins)."""
     columns = ["base_domain", "keyword_seq", "rank", "url", "reasons", "score", "filtered", "whitelisted"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,39 +212,30 @@ def rollup_dns(dns_answers: DataFrame) -> DataFrame:
     )
 
 
-def _irrelevant_domain(base: Column, strict_suffix: bool) -> Column:
-    result = F.lit(False)
-    for d in config.IRRELEVANT_DOMAINS:
-        hit = F.endswith(base, F.lit(d))
-        if strict_suffix:
-            hit = (base == d) | F.endswith(base, F.lit("." + d))
-        result = result | hit
-    return (base != "") & result
-
-
 def prefilter(sites: DataFrame, strict_suffix: bool = False, url_col: str = "url") -> DataFrame:
     """Mark sites that need no facts: educational text, known or trusted domains.
 
-    The first matching reason wins.  All tests are plain substring or suffix
-    comparisons, evaluated before anything expensive.
+    The first matching reason wins.  The tests are substring and suffix
+    patterns, evaluated before anything expensive.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     base = F.coalesce("base_domain", F.lit(""))
     text = F.lower(F.concat_ws(" ", url, F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))))
-    words = tuple(dict.fromkeys(config.ANTI_PHISHING_WORDS + config.IRRELEVANT_WORDS))
-    trusted_url = F.lit(False)
-    for pattern in config.TRUSTED_URL_PATTERNS:
-        trusted_url = trusted_url | url.rlike("(?i)" + pattern)
+    domains = "|".join(re.escape(d) for d in config.IRRELEVANT_DOMAINS)
+    irrelevant = base.rlike(rf"{'(^|[.])' if strict_suffix else ''}(?:{domains})\z")
+    trusted_url = url.rlike("(?i)" + "|".join(config.TRUSTED_URL_PATTERNS))
     reason = (
-        F.when(contains_any(text, words), F.lit("Irrelevant or educational content"))
-        .when(_irrelevant_domain(base, strict_suffix), F.lit("Irrelevant domain"))
+        F.when(
+            contains_any(text, config.ANTI_PHISHING_WORDS + config.IRRELEVANT_WORDS),
+            F.lit("Irrelevant or educational content"),
+        )
+        .when(irrelevant, F.lit("Irrelevant domain"))
         .when((base != "") & (base.isin(*config.TRUSTED_DOMAINS) | trusted_url), F.lit("Whitelist match"))
     )
     legit = url.rlike("(?i)" + config.LEGIT_SUBDOMAIN_PATTERN)
     return sites.withColumn("prefilter_reason", reason).withColumn(
         "is_legit_subdomain",
-        F.when(F.col("prefilter_reason").isNull() | (F.col("prefilter_reason") == "Whitelist match"), legit)
-        .otherwise(F.lit(False)),
+        F.coalesce(F.col("prefilter_reason") == "Whitelist match", F.lit(True)) & legit,
     )
 
 

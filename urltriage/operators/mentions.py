@@ -29,8 +29,17 @@ def _need(own: Column, other: Column, min_jw: float, min_lev: float | None) -> C
     return F.floor(bound - F.lit(1e-9)).cast("int") + 1
 
 
-def _signatures(s: Column, min_jw: float, min_lev: float | None, max_len_diff: int | None) -> Column:
-    """Array of (partner length, key) under which a string can meet partners.
+def _keyed(
+    values: DataFrame,
+    name: str,
+    own: str,
+    other: str,
+    partner_lengths: list[int],
+    min_jw: float,
+    min_lev: float | None,
+    max_len_diff: int | None,
+) -> DataFrame:
+    """Rows (value, own length, partner length, key) under which values can meet.
 
     Both strings are read as multisets of characters in one fixed order.  If
     they share at least n characters, their first (length - n + 2) characters
@@ -38,42 +47,41 @@ def _signatures(s: Column, min_jw: float, min_lev: float | None, max_len_diff: i
     qualifying pair is missed, and strings that merely have similar lengths do
     not meet.
     """
-    shrink = 3.0 * required_jaro(min_jw) - 2.0
-    if min_lev is not None:
-        shrink = min(shrink, min_lev)
-    own = F.length(s)
-    low = F.greatest(F.lit(1), F.floor(own * F.lit(shrink)).cast("int"))
-    high = F.ceil(own / F.lit(shrink)).cast("int")
-    if max_len_diff is not None:
-        low, high = F.greatest(low, own - max_len_diff), F.least(high, own + max_len_diff)
-    renamed = F.call_function("translate", s, F.lit(_RARE_FIRST), F.lit(_ALPHABET))
-    chars = F.array_sort(F.split(renamed, ""))
-    numbered = F.transform(
-        F.array(chars),
-        lambda cs: F.transform(
-            cs, lambda ch, i: F.concat(ch, (i - F.array_position(cs, ch)).cast("string"))
-        ),
-    )
-
-    def keys(tokens: Column, q: Column) -> Column:
-        n = _need(own, q, min_jw, min_lev)
-        single = F.slice(tokens, 1, own - n + 1)
-        first = F.slice(tokens, 1, own - n + 2)
-        pairs = F.flatten(
+    renamed = F.call_function("translate", F.col(name), F.lit(_RARE_FIRST), F.lit(_ALPHABET))
+    gap = F.abs(F.col(own) - F.col(other))
+    near = F.lit(True) if max_len_diff is None else gap <= max_len_diff
+    need = _need(F.col(own), F.col(other), min_jw, min_lev)
+    sized = (
+        values.withColumns({own: F.length(name), "_c": F.array_sort(F.split(renamed, ""))})
+        .withColumn(
+            # Repeated characters are told apart by their occurrence number.
+            "_t",
             F.transform(
-                first,
-                lambda x, i: F.transform(
-                    F.slice(first, i + 2, F.size(first)), lambda y: F.concat(x, F.lit("|"), y)
-                ),
-            )
+                "_c",
+                lambda ch, i: F.concat(ch, (i - F.array_position("_c", ch)).cast("string")),
+            ),
         )
-        usable = F.when(n == 1, single).otherwise(pairs)
-        return F.when(
-            n <= F.least(own, q), F.transform(usable, lambda k: F.struct(q.alias("q"), k.alias("k")))
+        .withColumn(other, F.explode(F.array(*[F.lit(n) for n in partner_lengths])))
+        .withColumn("_n", need)
+        .filter(near & (F.col("_n") <= F.least(own, other)))
+        .withColumn("_p", F.slice("_t", F.lit(1), F.col(own) - F.col("_n") + F.least("_n", F.lit(2))))
+    )
+    pairs = F.flatten(
+        F.transform(
+            "_p",
+            lambda x, i: F.transform(
+                F.slice("_p", i + 2, F.size("_p")), lambda y: F.concat(x, F.lit("|"), y)
+            ),
         )
+    )
+    keys = F.when(F.col("_n") == 1, F.col("_p")).otherwise(pairs)
+    return sized.select(name, own, other, F.explode(keys).alias("_k"))
+
 
-    per_length = F.transform(F.sequence(low, high), lambda q: keys(F.get(numbered, 0), q))
-    return F.flatten(F.array_compact(per_length))
+def _lengths(values: DataFrame, name: str) -> list[int]:
+    """Distinct string lengths: a handful of numbers whatever the row count."""
+    rows = values.select(F.length(name).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in rows)
 
 
 def similar_pairs(
@@ -85,25 +93,29 @@ def similar_pairs(
 ) -> DataFrame:
     """Pairs with Jaro-Winkler > ``min_jw`` or Levenshtein similarity > ``min_lev``.
 
-    Uses the first column of each side, on distinct values.  It is an exact
-    equi-join on character signatures (no cross join, no cap), followed by a
+    Uses the first column of each side, on distinct values; the right side is
+    the shorter list (its lengths are read first).  It is an exact equi-join on character signatures (no cross join, no cap), followed by a
     cheap bound and then the distances.  Returns both values, ``jw``, ``lev``.
     """
     lname, rname = left.columns[0], right.columns[0]
 
-    def keyed(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        value = F.col(name)
-        values = df.select(name).filter(F.length(value) > 0).distinct()
-        exploded = values.select(
-            name,
-            F.length(value).alias(own),
-            F.explode(_signatures(value, min_jw, min_lev, max_len_diff)).alias("_s"),
-        )
-        return exploded.select(name, own, F.col("_s.q").alias(other), F.col("_s.k").alias("_k"))
+    def distinct_values(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name).filter(F.length(name) > 0).distinct()
 
-    pairs = keyed(left, lname, "_ll", "_lr").join(
-        keyed(right, rname, "_lr", "_ll"), ["_ll", "_lr", "_k"]
-    )
+    bounds = (min_jw, min_lev, max_len_diff)
+    lefts, rights = distinct_values(left, lname), distinct_values(right, rname)
+    right_lengths = _lengths(rights, rname)
+    if not right_lengths:
+        right_lengths = [0]
+    shrink = 3.0 * required_jaro(min_jw) - 2.0
+    shrink = shrink if min_lev is None else min(shrink, min_lev)
+    # Lengths that can meet any right value at all.
+    low, high = int(right_lengths[0] * shrink), int(right_lengths[-1] / shrink) + 1
+    lefts = lefts.filter(F.length(lname).between(low, high))
+    left_lengths = list(range(max(low, 1), high + 1))
+    keyed_left = _keyed(lefts, lname, "_ll", "_lr", right_lengths, *bounds)
+    keyed_right = _keyed(rights, rname, "_lr", "_ll", left_lengths, *bounds)
+    pairs = keyed_left.join(keyed_right, ["_ll", "_lr", "_k"])
     a, b = F.col(lname), F.col(rname)
     plausible = may_reach_jaro_winkler(a, b, min_jw)
     if min_lev is not None:

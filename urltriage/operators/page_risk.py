@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from urltriage import config as C
 from urltriage.functions.text import linear_damped, log_damped, sigmoid, two_decimals
-from urltriage.operators.domain_risk import Rule, reason_list
+from urltriage.operators.rules import Rule, fire
 
 PHISHING_FROM = 0.7
 SUSPECT_FROM = 0.3
@@ -165,10 +165,8 @@ def page_rules(df: DataFrame, options: C.PageRiskOptions) -> list[Rule]:
 def score_page(df: DataFrame, options: C.PageRiskOptions | None = None) -> DataFrame:
     """Add score (rounded to four decimals), category and reasons."""
     options = options or C.PageRiskOptions()
-    rules = page_rules(df, options)
-    total = F.lit(0.0)
-    for r in rules:
-        total = total + F.when(r.fires(), r.points).otherwise(F.lit(0.0))
+    flagged, fired = fire(df, page_rules(df, options), "_g")
+    total = fired.points().cast("double")
     logo = F.coalesce(_optional(df, "logo_similarity", "double"), F.lit(0.0))
     legit = (
         F.coalesce("exact_brand_domain", F.lit(False))
@@ -179,8 +177,8 @@ def score_page(df: DataFrame, options: C.PageRiskOptions | None = None) -> DataF
             & F.coalesce("ssl_valid", F.lit(False))
         )
     )
-    raw = df.withColumns(
-        {"_raw": sigmoid(total), "_legit": legit, "_reasons": reason_list(rules)}
+    raw = flagged.withColumns(
+        {"_raw": sigmoid(total), "_legit": legit, "_reasons": fired.reasons()}
     )
     final = F.when(F.col("_legit"), F.greatest(F.lit(0.0), F.col("_raw") - 0.5)).otherwise(F.col("_raw"))
     note = F.lit("Override: Señales legit fuertes (dominio viejo, SSL válido, logo match)")
@@ -190,7 +188,7 @@ def score_page(df: DataFrame, options: C.PageRiskOptions | None = None) -> DataF
             {"score": F.round(final, 4), "reasons": F.array_sort(F.array_distinct(noted))}
         )
         .withColumn("category", category(F.col("score")))
-        .drop("_raw", "_legit", "_reasons")
+        .drop("_raw", "_legit", "_reasons", *fired.columns)
     )
 
 

@@ -17,6 +17,11 @@ from urltriage.operators.suffix import with_registrable_domain
 from urltriage.plans import fixtures as fx
 from urltriage.plans.domain_triage import attach_facts, locate, triage_domains, with_keyword_order
 from urltriage.plans.registry import query, sql_list, with_tables
+from urltriage.schemas import SERP_ITEMS
+from urltriage.session import shared_folder
+from urltriage.sources.readers import read_results
+from urltriage.sources.writers import export_csv, export_suspicious_csv, write_results
+from urltriage.streaming.incremental import results_so_far, triage_stream
 
 AT = f"timestamp '{fx.AS_OF}'"
 
@@ -578,38 +583,44 @@ def domain_score(spark, sf):
     )
 
 
-TRIAGE_STEPS = [
-    *FIRST_HITS,
-    *located("o_first"),
-    O_PREFILTERED,
-    O_FACTS,
-    (
-        "o_in",
-        """select p.* exclude (pre), p.original_url as url, f.base_domain is not null as hit,
-        case when f.base_domain is null then p.pre end as pre,
-        f.registrar, f.creation_date, f.emails, f.mx_count, f.ip, f.ttl, f.ns_count, f.ns_records, f.error,
-        f.error is not null or (f.base_domain is null and p.pre is not null) as filtered,
-        case when f.base_domain is null and p.pre is not null then [p.pre] else cast([] as varchar[]) end as stored
-        from o_prefiltered p left join (select * from o_facts where stale_days <= 7) f on p.base_domain = f.base_domain
-        where p.normalized_url not in (select """
-        + NORMAL.format(u="original_url")
-        + " from fx_sites where page_id % 4 = 0)",
-    ),
-    *scored("o_in"),
-]
+def triage_steps(skip_prior: bool = True) -> list[tuple[str, str]]:
+    known = (
+        f"where p.normalized_url not in (select {NORMAL.format(u='original_url')} from fx_sites where page_id % 4 = 0)"
+        if skip_prior
+        else ""
+    )
+    return [
+        *FIRST_HITS,
+        *located("o_first"),
+        O_PREFILTERED,
+        O_FACTS,
+        (
+            "o_in",
+            f"""select p.* exclude (pre), p.original_url as url, f.base_domain is not null as hit,
+            case when f.base_domain is null then p.pre end as pre,
+            f.registrar, f.creation_date, f.emails, f.mx_count, f.ip, f.ttl, f.ns_count, f.ns_records, f.error,
+            f.error is not null or (f.base_domain is null and p.pre is not null) as filtered,
+            case when f.base_domain is null and p.pre is not null then [p.pre] else cast([] as varchar[]) end as stored
+            from o_prefiltered p left join (select * from o_facts where stale_days <= 7) f on p.base_domain = f.base_domain
+            {known}""",
+        ),
+        *scored("o_in"),
+    ]
+
+
 TRIAGE_SELECT = """select keyword, normalized_url, base_domain as domain, suspicious,
  array_to_string(reasons, ' | ') as reasons, score, pre is not null as whitelisted, filtered, registrar,
  strftime(creation_date, '%Y-%m-%d %H:%M:%S') as creation_date, coalesce(mx_count, 0) as mx_count, ttl,
  array_to_string(coalesce(ns_records, []), ',') as ns_records, coalesce(ns_count, 0) as ns_count from o_scored"""
-DOMAIN_TRIAGE_SQL = with_tables(["fx_hits", "fx_facts"], TRIAGE_STEPS, TRIAGE_SELECT)
+DOMAIN_TRIAGE_SQL = with_tables(["fx_hits", "fx_facts"], triage_steps(), TRIAGE_SELECT)
 
 
-def triage_input(spark, sf) -> DataFrame:
+def triage_input(spark, sf, skip_prior: bool = True) -> DataFrame:
     return triage_domains(
         fx.derive(spark, sf, "fx_hits"),
         fx.facts(spark, sf),
         fx.AS_OF,
-        prior=_prior_keys(spark, sf),
+        prior=_prior_keys(spark, sf) if skip_prior else None,
         keywords=fx.keywords(spark),
         suffixes=fx.suffixes(spark),
     )
@@ -630,3 +641,140 @@ def triage_view(results: DataFrame) -> DataFrame:
 @query("domain_triage", DOMAIN_TRIAGE_SQL)
 def domain_triage(spark, sf):
     return triage_view(triage_input(spark, sf))
+
+
+# --- K, S: results life cycle -------------------------------------------------
+def _prior_results(spark, sf) -> DataFrame:
+    """Earlier results of every third site, a day older."""
+    old = with_normalized_url(fx.derive(spark, sf, "fx_sites").filter(F.col("page_id") % 3 == 0))
+    return K.storable(
+        old.select(
+            F.concat(F.lit("old-"), "keyword").alias("keyword"),
+            F.col("original_url").alias("url"),
+            "normalized_url",
+            F.lit(-7).alias("score"),
+            F.array(F.lit("earlier")).alias("reasons"),
+            F.lit(False).alias("suspicious"),
+        ),
+        "2024-12-31 00:00:00",
+    )
+
+
+@query(
+    "results_upsert",
+    with_tables(
+        ["fx_hits", "fx_facts"],
+        [
+            *triage_steps(skip_prior=False),
+            (
+                "o_old",
+                f"""select 'old-' || keyword as keyword, {NORMAL.format(u='original_url')} as normalized_url from fx_sites
+                where page_id % 3 = 0""",
+            ),
+            ("o_new", "select * from o_scored where normalized_url not like '%/1%'"),
+        ],
+        """select normalized_url, keyword, score, suspicious, array_to_string(reasons, ' | ') as reasons,
+        '2025-01-01 00:00:00' as last_checked from o_new
+        union all select normalized_url, keyword, 0, false, 'earlier', '2024-12-31 00:00:00' from o_old
+        where normalized_url not in (select normalized_url from o_new)""",
+    ),
+)
+def results_upsert(spark, sf):
+    """New results over earlier ones; a row without a keyword is not stored."""
+    fresh = triage_input(spark, sf, skip_prior=False)
+    blank = F.when(~F.contains("normalized_url", F.lit("/1")), F.col("keyword"))
+    merged = K.upsert_results(_prior_results(spark, sf), fresh.withColumn("keyword", blank), fx.AS_OF)
+    # Through the JSON form in which lists are stored as text.
+    packed = merged.withColumn("reasons", X.list_to_json(F.col("reasons")))
+    return _ints(
+        packed.select(
+            "normalized_url", "keyword", "score", "suspicious",
+            F.array_join(X.list_from_json(F.col("reasons")), " | ").alias("reasons"),
+            F.date_format("last_checked", "yyyy-MM-dd HH:mm:ss").alias("last_checked"),
+        ),
+        "score",
+    )
+
+
+@query(
+    "suspicious_report",
+    with_tables(
+        ["fx_hits", "fx_facts"],
+        triage_steps(),
+        """select normalized_url, keyword, base_domain as domain, score, to_json(reasons)::varchar as reasons
+        from o_scored where suspicious and score >= 50""",
+    ),
+)
+def suspicious_report(spark, sf):
+    """The CSV checkpoint, read back."""
+    path = shared_folder(spark, "suspicious")
+    table = shared_folder(spark, "results")
+    write_results(K.storable(triage_input(spark, sf), fx.AS_OF), table)
+    stored = read_results(spark, table)
+    columns = ["normalized_url", "keyword", "domain", "score", "reasons"]
+    if not export_suspicious_csv(stored, path):
+        return _no_rows(stored.select(*columns))
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select(*columns).withColumn("score", F.col("score").cast("bigint"))
+
+
+def _no_rows(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.col("score").cast("bigint")).filter(F.lit(False))
+
+
+@query("results_roundtrip", with_tables(["fx_hits", "fx_facts"], triage_steps(), """select normalized_url, keyword, score,
+  suspicious, filtered, array_to_string(reasons, ' | ') as reasons, registrar from o_scored"""))
+def results_roundtrip(spark, sf):
+    """Results table written and read back, and its full CSV export."""
+    path, csv_path = shared_folder(spark, "results"), shared_folder(spark, "results-csv")
+    write_results(K.storable(triage_input(spark, sf), fx.AS_OF), path)
+    stored = read_results(spark, path)
+    export_csv(stored, csv_path)
+    text = spark.read.option("header", True).option("escape", '"').csv(csv_path)
+    flags = text.select("normalized_url", F.col("filtered").cast("boolean"), F.col("registrar"))
+    joined = stored.drop("filtered", "registrar").join(flags, "normalized_url")
+    return _ints(
+        joined.select(
+            "normalized_url", "keyword", "score", "suspicious", "filtered",
+            F.array_join("reasons", " | ").alias("reasons"), "registrar",
+        ),
+        "score",
+    )
+
+
+INCREMENTAL_SQL = with_tables(
+    ["fx_hits", "fx_facts"],
+    triage_steps(skip_prior=False),
+    """select normalized_url, keyword, base_domain as domain, suspicious, array_to_string(reasons, ' | ') as reasons,
+    score, filtered from o_scored""",
+)
+
+
+@query("incremental_triage", INCREMENTAL_SQL)
+def incremental_triage(spark, sf):
+    """Batches of arriving files, one keyword each; equals the batch result."""
+    incoming, out, state = (shared_folder(spark, n) for n in ("incoming", "triaged", "progress"))
+    hits = fx.derive(spark, sf, "fx_hits").select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in SERP_ITEMS.fields]
+    )
+    for word, seq in fx.KEYWORDS:
+        hits.filter(F.col("keyword") == word).coalesce(1).write.parquet(f"{incoming}/{seq}")
+    stream = triage_stream(
+        spark,
+        f"{incoming}/*",
+        out,
+        state,
+        fx.facts(spark, sf),
+        fx.AS_OF,
+        keywords=fx.keywords(spark),
+        suffixes=fx.suffixes(spark),
+    )
+    stream.awaitTermination()
+    done = results_so_far(spark, out)
+    return _ints(
+        done.select(
+            "normalized_url", "keyword", "domain", "suspicious",
+            F.array_join("reasons", " | ").alias("reasons"), "score", "filtered",
+        ),
+        "score",
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urltriage.functions.text import as_timestamp, clean_list
+from urltriage.sources.readers import spread
 
 AS_OF = "2025-01-01 00:00:00"
 BRANDS = ("acme", "paypal", "cipriani")
@@ -158,7 +159,7 @@ def cte(name: str) -> list[tuple[str, str]]:
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip("/")}/{name}.parquet"))
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str, pages: DataFrame | None = None) -> DataFrame:

@@ -360,8 +360,9 @@ _MENTION_ROWS = ", ".join(f"('{b}', '{mark(b)}')" for b in MENTION_BRANDS)
             ),
             (
                 "o_vocab",
+                # DuckDB compares bytes; single-byte stand-ins make that characters.
                 """select word, brand from (select distinct word from o_words), o_brands
-                where jaro_winkler_similarity(word, brand) > 0.9""",
+                where jaro_winkler_similarity(translate(word, 'ßäçèéêíñóöüáú', 'ABCDEFGHIJKLM'), brand) > 0.9""",
             ),
             (
                 "o_fuzzy",
