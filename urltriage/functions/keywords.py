@@ -36,7 +36,8 @@ def _entry(keyword: str, skip: int = 0) -> str:
 
 
 def occurrence_pattern(keywords) -> str:
-    """Zero-width pattern; group 1 is the longest keyword at a word start."""
+    """Pattern for a text with a blank in front; group 1 is the longest keyword
+    at a word start."""
     ordered = sorted(set(keywords), key=lambda k: (k[0], -len(k), k))
     if not all(_is_word(k[0]) for k in ordered):
         raise ValueError("keywords have to start with a letter, digit or underscore")
@@ -44,7 +45,9 @@ def occurrence_pattern(keywords) -> str:
         f"{first}(?:{'|'.join(_entry(k, 1) for k in group)})"
         for first, group in groupby(ordered, key=lambda k: k[0])
     ]
-    return f"(?<!{WORD})(?=({'|'.join(branches)}))"
+    firsts = "".join(sorted({re.escape(k[0]) for k in ordered}))
+    # Consumes the character before the word; the cheap classes come first.
+    return f"[^a-z](?=[{firsts}])(?<!{WORD})(?=({'|'.join(branches)}))"
 
 
 def contained_entries(keywords) -> dict[str, list[str]]:
@@ -64,7 +67,8 @@ def contained_entries(keywords) -> dict[str, list[str]]:
 
 def occurrences(text: Column, keywords) -> Column:
     """Every occurrence of every keyword in a lowercased text, as an array."""
-    found = F.regexp_extract_all(text, F.lit(occurrence_pattern(keywords)), F.lit(1))
+    padded = F.concat(F.lit(" "), text)
+    found = F.regexp_extract_all(padded, F.lit(occurrence_pattern(keywords)), F.lit(1))
     nested = contained_entries(keywords)
     if not nested:
         return found

@@ -1,23 +1,23 @@
-"""String similarity as Column expressions.
+"""String similarity from built-in functions.
 
 Spark has ``levenshtein`` built in; Jaro-Winkler is composed here from array
 functions.  It is interpreted per pair, so callers put a cheap built-in bound
 (:func:`may_reach_jaro_winkler`) in front and evaluate it on survivors only.
+
+The functions take and give SQL text: arguments may be columns or the variable
+of a surrounding lambda, and one parse replaces hundreds of calls to the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 BOOST_ABOVE = 0.7
 PREFIX_WEIGHT = 0.1
 MAX_PREFIX = 4
 
 
-def levenshtein_similarity(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
+def levenshtein_similarity(a: str, b: str) -> str:
+    longest = f"greatest(length({a}), length({b}))"
+    return f"CASE WHEN {longest} = 0 THEN 1D ELSE 1D - levenshtein({a}, {b}) / {longest} END"
 
 
 def required_jaro(min_jw: float) -> float:
@@ -28,87 +28,69 @@ def required_jaro(min_jw: float) -> float:
     return (min_jw - boost) / (1.0 - boost)
 
 
-def may_reach_jaro_winkler(a: Column, b: Column, min_jw: float) -> Column:
+def may_reach_jaro_winkler(a: str, b: str, min_jw: float) -> str:
     """False only for pairs that cannot exceed ``min_jw``.
 
     Characters of one side that occur at all on the other bound the number of
     matches m from above, and Jaro is at most (m/|a| + m/|b| + 1) / 3.
     """
-    la, lb = F.length(a), F.length(b)
-    common_a = la - F.length(F.call_function("translate", a, b, F.lit("")))
-    common_b = lb - F.length(F.call_function("translate", b, a, F.lit("")))
-    m = F.least(common_a, common_b)
-    return (la > 0) & (lb > 0) & (
-        m / la + m / lb + F.lit(1.0) > F.lit(3.0 * required_jaro(min_jw) - 1e-9)
+    common_a = f"length({a}) - length(translate({a}, {b}, ''))"
+    common_b = f"length({b}) - length(translate({b}, {a}, ''))"
+    m = f"least({common_a}, {common_b})"
+    least_sum = 3.0 * required_jaro(min_jw) - 1.0 - 1e-9
+    return (
+        f"(length({a}) > 0 AND length({b}) > 0 AND "
+        f"{m} * (1D / length({a}) + 1D / length({b})) > {least_sum!r}D)"
     )
 
 
-def _window(lo: Column, hi: Column) -> Column:
-    """Integers lo..hi, empty when lo > hi."""
-    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-
-
-def jaro_winkler(a: Column, b: Column) -> Column:
+def jaro_winkler(a: str, b: str) -> str:
     """Jaro-Winkler similarity in 0..1 (prefix weight 0.1, up to four characters)."""
-    packed = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
-    # One-entry arrays give the intermediate values a name inside the expression.
-    matched = F.transform(F.array(packed), _match)
-    similarity = F.get(F.transform(matched, _score), 0)
+    # Positions of b matched by the characters of a, in the order of a.
+    matched = """
+      aggregate(sequence(0, size(jp.a) - 1), CAST(array() AS ARRAY<INT>), (ju, ji) -> concat(ju, slice(filter(
+        CASE WHEN greatest(0, ji - jp.reach) <= least(size(jp.b) - 1, ji + jp.reach)
+          THEN sequence(greatest(0, ji - jp.reach), least(size(jp.b) - 1, ji + jp.reach))
+          ELSE CAST(array() AS ARRAY<INT>) END,
+        jj -> get(jp.b, jj) = get(jp.a, ji) AND NOT array_contains(ju, jj)), 1, 1)))"""
+    reach = f"greatest(0, CAST(floor(greatest(length({a}), length({b})) / 2) AS INT) - 1)"
+    split = f"named_struct('a', split({a}, ''), 'b', split({b}, ''), 'reach', {reach})"
+    found = f"transform(array({split}), jp -> named_struct('a', jp.a, 'b', jp.b, 'used', {matched}))"
+    moved = (
+        "floor(size(filter(zip_with(transform(jm.used, jj -> get(jm.b, jj)), "
+        "transform(array_sort(jm.used), jj -> get(jm.b, jj)), (jx, jy) -> jx != jy), jd -> jd)) / 2)"
+    )
+    jaro = (
+        "(size(jm.used) / size(jm.a) + size(jm.used) / size(jm.b) + "
+        f"(size(jm.used) - {moved}) / size(jm.used)) / 3D"
+    )
+    prefix = (
+        "size(filter(sequence(1, least(size(jm.a), size(jm.b), "
+        f"{MAX_PREFIX})), jk -> slice(jm.a, 1, jk) = slice(jm.b, 1, jk)))"
+    )
+    scores = (
+        f"transform({found}, jm -> CASE WHEN size(jm.used) = 0 THEN named_struct('j', 0D, 'p', 0) "
+        f"ELSE named_struct('j', {jaro}, 'p', {prefix}) END)"
+    )
+    boosted = (
+        f"get(transform({scores}, js -> CASE WHEN js.j > {BOOST_ABOVE}D "
+        f"THEN js.j + js.p * {PREFIX_WEIGHT}D * (1D - js.j) ELSE js.j END), 0)"
+    )
     return (
-        F.when((F.length(a) == 0) & (F.length(b) == 0), F.lit(1.0))
-        .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
-        .when(a == b, F.lit(1.0))
-        .otherwise(similarity)
+        f"CASE WHEN length({a}) = 0 AND length({b}) = 0 THEN 1D "
+        f"WHEN length({a}) = 0 OR length({b}) = 0 THEN 0D WHEN {a} = {b} THEN 1D ELSE {boosted} END"
     )
 
 
-def _match(p: Column) -> Column:
-    ca, cb = p["a"], p["b"]
-    la, lb = F.size(ca), F.size(cb)
-    reach = F.greatest(F.lit(0), F.floor(F.greatest(la, lb) / 2).cast("int") - 1)
-
-    def step(used: Column, i: Column) -> Column:
-        near = _window(F.greatest(F.lit(0), i - reach), F.least(lb - 1, i + reach))
-        free = F.filter(
-            near, lambda j: (F.get(cb, j) == F.get(ca, i)) & ~F.array_contains(used, j)
-        )
-        return F.concat(used, F.slice(free, 1, 1))
-
-    used = F.aggregate(F.sequence(F.lit(0), la - 1), F.array().cast("array<int>"), step)
-    return F.struct(ca.alias("a"), cb.alias("b"), used.alias("used"))
-
-
-def _score(p: Column) -> Column:
-    ca, cb, used = p["a"], p["b"], p["used"]
-    la, lb, m = F.size(ca), F.size(cb), F.size(used)
-    in_order = F.transform(used, lambda j: F.get(cb, j))
-    by_position = F.transform(F.array_sort(used), lambda j: F.get(cb, j))
-    out_of_place = F.size(F.filter(F.zip_with(in_order, by_position, lambda x, y: x != y), lambda d: d))
-    moved = F.floor(out_of_place / 2)
-    jaro = (m / la + m / lb + (m - moved) / m) / F.lit(3.0)
-    length = F.least(la, lb, F.lit(MAX_PREFIX))
-    same = F.zip_with(F.slice(ca, 1, length), F.slice(cb, 1, length), lambda x, y: x == y)
-    first_difference = F.array_position(same, F.lit(False))
-    prefix = F.when(first_difference == 0, length).otherwise(first_difference - 1)
-    boosted = F.when(
-        jaro > BOOST_ABOVE, jaro + prefix * F.lit(PREFIX_WEIGHT) * (F.lit(1.0) - jaro)
-    ).otherwise(jaro)
-    return F.when(m == 0, F.lit(0.0)).otherwise(boosted)
-
-
-def typosquat_score(brand: Column, core: Column) -> Column:
+def typosquat_score(brand: str, core: str) -> str:
     """0.6 Levenshtein + 0.4 Jaro-Winkler; 0 when equal or blank."""
-    b, d = F.lower(brand), F.lower(core)
-    blank = (F.coalesce(b, F.lit("")) == "") | d.isNull()
-    return F.when(blank | (b == d), F.lit(0.0)).otherwise(
-        F.lit(0.6) * levenshtein_similarity(b, d) + F.lit(0.4) * jaro_winkler(b, d)
-    )
+    b, d = f"lower({brand})", f"lower({core})"
+    blank = f"coalesce({b}, '') = '' OR {d} IS NULL OR {b} = {d}"
+    mixed = f"0.6D * ({levenshtein_similarity(b, d)}) + 0.4D * ({jaro_winkler(b, d)})"
+    return f"CASE WHEN {blank} THEN 0D ELSE {mixed} END"
 
 
-def hex_similarity(a: Column, b: Column) -> Column:
+def hex_similarity(a: str, b: str) -> str:
     """1 minus the share of differing digits of two equally long hex digests."""
-    digits = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
-    differing = F.aggregate(digits, F.lit(0), lambda acc, d: acc + F.coalesce(d, F.lit(0)))
-    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(
-        F.lit(1.0) - differing / F.length(a)
-    )
+    differing = f"size(filter(zip_with(split({a}, ''), split({b}, ''), (hx, hy) -> hx != hy), hd -> hd))"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0D ELSE 1D - {differing} / length({a}) END"

@@ -10,9 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space that counts as such in a page's text.
-WHITESPACE = (
-    r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SPACES = (
+    r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+WHITESPACE = f"[{_SPACES}]+"
+# The same, arranged for speed: plain letters fail the first cheap class, and a
+# single blank, which needs no replacement, is not matched at all.
+_COLLAPSIBLE = rf"(?:[^!-~](?<=[{_SPACES}])){{2,}}+|[^ -~](?<=[{_SPACES}])"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 TOKEN_SEPARATORS = r"[\s\-/?&=_.,:;!]+"
@@ -31,7 +35,16 @@ NAMED_ENTITIES = {
     "&egrave;": "è", "&ccedil;": "ç", "&ecirc;": "ê", "&ocirc;": "ô", "&auml;": "ä",
     "&ouml;": "ö", "&szlig;": "ß",
 }
-_REFERENCE = r"(?s)&(?:#[xX]?[0-9a-fA-F]{1,7}|[a-zA-Z]{2,8});|[^&]+|&"
+_NAMES = "\x02".join(f"{k[1:-1]}\x01{v}" for k, v in NAMED_ENTITIES.items())
+
+
+def sql_text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values) -> str:
+    return "array(" + ", ".join(sql_text(v) for v in values) + ")"
 
 
 def text_array(values) -> Column:
@@ -40,38 +53,36 @@ def text_array(values) -> Column:
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WHITESPACE, " "))
+    return F.trim(F.regexp_replace(c, _COLLAPSIBLE, " "))
 
 
 def normalize_text(c: Column) -> Column:
     return F.coalesce(F.lower(collapse_whitespace(c)), F.lit(""))
 
 
-def _decode_reference(token: Column) -> Column:
-    hexadecimal = F.lower(F.substring(token, 3, 1)) == "x"
-    code = F.when(
-        hexadecimal, F.conv(F.regexp_extract(token, r"&#[xX]([0-9a-fA-F]+);", 1), 16, 10)
-    ).otherwise(F.regexp_extract(token, r"&#([0-9]+);", 1))
-    number = code.try_cast("int")
-    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    # One foldable node instead of a map of a hundred literals.
-    names = F.str_to_map(
-        F.lit("\x02".join(f"{k}\x01{v}" for k, v in NAMED_ENTITIES.items())), F.lit("\x02"), F.lit("\x01")
+def decode_entities_sql(c: str) -> str:
+    """Decode character references in one left-to-right pass (never twice).
+
+    The text is cut at its ampersands; each later piece starts with a candidate
+    reference that ends at its first semicolon.
+    """
+    names = f"str_to_map({sql_text(_NAMES)}, '\\u0002', '\\u0001')"
+    code = (
+        "CASE WHEN r.n RLIKE '^#[xX][0-9a-fA-F]{1,7}$' THEN try_cast(conv(substring(r.n, 3), 16, 10) AS INT) "
+        "WHEN r.n RLIKE '^#[0-9]{1,7}$' THEN try_cast(substring(r.n, 2) AS INT) END"
     )
-    return (
-        F.when(~F.startswith(token, F.lit("&")), token)
-        .when(F.startswith(token, F.lit("&#")), F.when(valid, char).otherwise(token))
-        .otherwise(F.coalesce(F.try_element_at(names, token), token))
+    numeric = (
+        f"CASE WHEN r.n LIKE '#%' AND ({code}) BETWEEN 1 AND 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343 "
+        f"THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') END"
     )
-
-
-def decode_entities(c: Column) -> Column:
-    """Decode character references in one left-to-right pass (never twice)."""
-    tokens = F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
-    return F.when(
-        F.contains(c, F.lit("&")), F.array_join(F.transform(tokens, _decode_reference), "")
-    ).otherwise(c)
+    rest = "substring(r.p, length(r.n) + 2)"
+    piece = (
+        "get(transform(array(named_struct('p', p, 'n', substring_index(p, ';', 1))), r -> "
+        f"CASE WHEN length(r.n) = length(r.p) THEN concat('&', r.p) ELSE coalesce("
+        f"concat(try_element_at({names}, r.n), {rest}), concat({numeric}, {rest}), concat('&', r.p)) END), 0)"
+    )
+    pieces = f"transform(split({c}, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {piece} END)"
+    return f"CASE WHEN contains({c}, '&') THEN array_join({pieces}, '') ELSE {c} END"
 
 
 def clean_list(c: Column) -> Column:
@@ -134,22 +145,21 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return F.floor(seconds / F.lit(86400)).cast("int")
 
 
-def sigmoid(c: Column, steepness: float = 3.0) -> Column:
-    s = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-steepness) * c))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
+def sigmoid_sql(c: str, steepness: float = 3.0) -> str:
+    return f"greatest(0D, least(1D, 1D / (1D + exp(-{steepness}D * ({c})))))"
 
 
-def log_damped(count: Column, full_at: int = 6) -> Column:
-    return F.least(F.lit(1.0), F.log1p(count) / F.log(F.lit(float(full_at))))
+def log_damped_sql(count: str, full_at: int = 6) -> str:
+    return f"least(1D, log1p({count}) / ln({full_at}D))"
 
 
-def linear_damped(count: Column, full_at: int) -> Column:
-    return F.least(F.lit(1.0), count / F.lit(float(full_at)))
+def linear_damped_sql(count: str, full_at: int) -> str:
+    return f"least(1D, {count} / {full_at}D)"
 
 
-def two_decimals(c: Column) -> Column:
+def two_decimals_sql(c: str) -> str:
     """Number text as it appears inside reasons: 0.5, 0.33, 1.0."""
-    return F.bround(c, 2).cast("string")
+    return f"CAST(bround({c}, 2) AS STRING)"
 
 
 def word_tokens(c: Column, separators: str = TOKEN_SEPARATORS) -> Column:
@@ -174,3 +184,7 @@ def alternation(words) -> str:
 def contains_any(c: Column, words) -> Column:
     """True when any of the fixed words is a plain substring."""
     return c.rlike(alternation(words)) if words else F.lit(False)
+
+
+def contains_any_sql(c: str, words) -> str:
+    return f"{c} RLIKE {sql_text(alternation(words))}"

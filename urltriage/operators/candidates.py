@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from urltriage import config
 from urltriage.functions import html as H
-from urltriage.functions.text import contains_any
+from urltriage.functions.text import contains_any, sql_text
 from urltriage.functions.urls import url_host
 from urltriage.operators.keyed import first_per_key
 
@@ -38,13 +38,11 @@ def _percent_decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(kept), c)
 
 
-def result_links(html: Column) -> Column:
+def result_links(html: str) -> Column:
     """Targets of the result anchors of one search page, in page order."""
-    anchors = F.filter(
-        H.tag_attributes(html, "a"),
-        lambda a: H.attribute(a, "class").rlike(r"(^|\s)result__a(\s|$)"),
-    )
-    hrefs = F.array_compact(F.transform(anchors, lambda a: H.attribute(a, "href")))
+    marked = sql_text(r"(^|\s)result__a(\s|$)")
+    anchors = f"filter({H.tag_attributes(html, 'a')}, la -> {H.attribute('la', 'class')} RLIKE {marked})"
+    hrefs = F.expr(f"array_compact(transform({anchors}, la -> {H.attribute('la', 'href')}))")
 
     def target(href: Column) -> Column:
         redirected = F.regexp_extract(href, r"uddg=(http[^&]+)", 1)
@@ -55,7 +53,7 @@ def result_links(html: Column) -> Column:
 
 def extract_result_links(serp_pages: DataFrame, per_query: int = PER_QUERY) -> DataFrame:
     """Add ``links``: at most the first ``per_query`` targets of each page."""
-    links = F.slice(result_links(F.coalesce("html", F.lit(""))), 1, per_query)
+    links = F.slice(result_links("coalesce(html, '')"), 1, per_query)
     return serp_pages.withColumn("links", links).drop("html")
 
 

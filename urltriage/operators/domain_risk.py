@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urltriage import config as C
@@ -17,150 +17,138 @@ from urltriage.functions.similarity import (
 from urltriage.functions.text import (
     BRAND_SEPARATORS,
     as_timestamp,
-    contains_any,
-    text_array,
+    contains_any_sql,
+    sql_array,
+    sql_text,
     whole_days,
     word_tokens,
 )
-from urltriage.functions.urls import starts_with_https, url_path
+from urltriage.functions.urls import url_path
 from urltriage.operators.keyed import latest_per_key
 from urltriage.operators.rules import Rule, fire
 
 
-def similar_known_domains(base: Column) -> Column:
+def similar_known_domains(base: str) -> str:
     """Known domains the given one is confusable with (equality included).
 
     The known list is fixed and short, so it is an array literal rather than a
     join; length gap and character bound come before the distances.
     """
-
-    def confusable(known: Column) -> Column:
-        gap = F.abs(F.length(base) - F.length(known))
-        close = levenshtein_similarity(base, known) > C.SIMILAR_MIN_LEVENSHTEIN
-        near = may_reach_jaro_winkler(base, known, C.SIMILAR_MIN_JARO_WINKLER) & (
-            jaro_winkler(base, known) > C.SIMILAR_MIN_JARO_WINKLER
-        )
-        return (gap <= C.SIMILAR_MAX_LENGTH_GAP) & (close | near)
-
-    return F.when(base != "", F.filter(text_array(C.KNOWN_DOMAINS), confusable)).otherwise(text_array([]))
+    gap = f"abs(length({base}) - length(known)) <= {C.SIMILAR_MAX_LENGTH_GAP}"
+    close = f"{levenshtein_similarity(base, 'known')} > {C.SIMILAR_MIN_LEVENSHTEIN}D"
+    possible = may_reach_jaro_winkler(base, "known", C.SIMILAR_MIN_JARO_WINKLER)
+    near = f"{possible} AND {jaro_winkler(base, 'known')} > {C.SIMILAR_MIN_JARO_WINKLER}D"
+    return (
+        f"filter({sql_array(C.KNOWN_DOMAINS)}, known -> {base} != '' AND {gap} AND (({close}) OR ({near})))"
+    )
 
 
-def brand_present(brands: Sequence[str] | None) -> Column:
+def brand_present(brands: Sequence[str] | None) -> str:
     """Brand named in domain, title, snippet or path, as substring or as token."""
     names = [b.strip().lower() for b in brands or () if b and b.strip()]
     if not names:
-        return F.lit(False)
+        return "false"
     tokens = {t for b in names for t in re.split(BRAND_SEPARATORS, b) if t}
     # The line break keeps a match from running across two of the texts.
-    texts = F.concat_ws("\n", "_base", "_title", "_snippet", "_path")
-    shared = F.arrays_overlap("_tokens", text_array(sorted(tokens)))
-    return contains_any(texts, names) | F.coalesce(shared, F.lit(False))
-
+    texts = "concat_ws('\\n', _base, _title, _snippet, _path)"
+    shared = f"coalesce(arrays_overlap(_tokens, {sql_array(sorted(tokens))}), false)" if tokens else "false"
+    return f"({contains_any_sql(texts, names)} OR {shared})"
 
-def _facts_rules() -> list[Rule]:
-    age, suffix = F.col("_age"), F.col("suffix")
-    ttl = F.col("ttl").try_cast("int")
-    ips = F.size(F.coalesce("ip", text_array([])))
-    nameservers = F.lower(F.array_join(F.coalesce("ns_records", text_array([])), "\n"))
 
+def _fact_rules() -> list[Rule]:
+    high, low = (", ".join(sql_text(s) for s in x) for x in (C.HIGH_RISK_SUFFIXES, C.LOW_RISK_SUFFIXES))
+    ips = "size(coalesce(ip, array()))"
+    servers = "lower(array_join(coalesce(ns_records, CAST(array() AS ARRAY<STRING>)), '\\n'))"
+    trusted = contains_any_sql(servers, C.TRUSTED_NAMESERVER_WORDS)
+    minimum = C.CREATION_MIN_DAYS
     return [
         Rule(
-            age < C.CREATION_MIN_DAYS,
+            f"_age < {minimum}",
             C.CREATION_POINTS,
-            F.format_string(f"Creado hace %d días (<{C.CREATION_MIN_DAYS})", age),
+            f"concat('Creado hace ', _age, ' días (<{minimum})')",
             strong=True,
         ),
+        Rule("size(coalesce(emails, array())) = 0", C.NO_EMAIL_POINTS, "'Sin emails en WHOIS'", strong=True),
         Rule(
-            F.size(F.coalesce("emails", text_array([]))) == 0,
-            C.NO_EMAIL_POINTS,
-            "Sin emails en WHOIS",
-            strong=True,
-        ),
-        Rule(
-            F.trim(F.coalesce("registrar", F.lit(""))) == "",
+            "trim(coalesce(registrar, '')) = ''",
             C.NO_REGISTRAR_POINTS,
-            "Sin registrador confiable",
+            "'Sin registrador confiable'",
             strong=True,
         ),
         Rule(
-            suffix.isin(*C.HIGH_RISK_SUFFIXES),
+            f"suffix IN ({high})",
             C.HIGH_RISK_SUFFIX_POINTS,
-            F.concat(F.lit("TLD de alto riesgo: ."), suffix),
+            "concat('TLD de alto riesgo: .', suffix)",
             strong=True,
         ),
         Rule(
-            suffix.isin(*C.LOW_RISK_SUFFIXES),
+            f"suffix IN ({low})",
             C.LOW_RISK_SUFFIX_POINTS,
-            F.concat(F.lit("TLD de riesgo medio: ."), suffix),
+            "concat('TLD de riesgo medio: .', suffix)",
             strong=True,
         ),
-        Rule(F.col("mx_count") == 0, C.NO_MX_POINTS, "Sin MX records"),
+        Rule("mx_count = 0", C.NO_MX_POINTS, "'Sin MX records'"),
         Rule(
-            ttl < C.SHORT_TTL_SECONDS,
+            f"try_cast(ttl AS INT) < {C.SHORT_TTL_SECONDS}",
             C.SHORT_TTL_POINTS,
-            F.concat(F.lit("TTL corto: "), F.col("ttl").cast("string"), F.lit("s")),
+            "concat('TTL corto: ', ttl, 's')",
             strong=True,
         ),
-        Rule(ips == 0, C.NO_IP_POINTS, "No resuelve IP", strong=True),
-        Rule(F.col("ns_count") <= 1, C.FEW_NS_POINTS, "Pocos NS records", strong=True),
+        Rule(f"{ips} = 0", C.NO_IP_POINTS, "'No resuelve IP'", strong=True),
+        Rule("ns_count <= 1", C.FEW_NS_POINTS, "'Pocos NS records'", strong=True),
+        Rule(f"{servers} != '' AND NOT {trusted}", C.UNTRUSTED_NS_POINTS, "'Nameservers no confiables'"),
         Rule(
-            (nameservers != "") & ~contains_any(nameservers, C.TRUSTED_NAMESERVER_WORDS),
-            C.UNTRUSTED_NS_POINTS,
-            "Nameservers no confiables",
+            f"{ips} > {C.MANY_IPS_LIMIT}", C.MANY_IPS_POINTS, "'Múltiples IPs (fast-flux?)'", strong=True
         ),
-        Rule(ips > C.MANY_IPS_LIMIT, C.MANY_IPS_POINTS, "Múltiples IPs (fast-flux?)", strong=True),
-        Rule(~starts_with_https(F.col("_url")), C.NO_HTTPS_POINTS, "Sin HTTPS", strong=True),
+        Rule("NOT startswith(lower(_url), 'https')", C.NO_HTTPS_POINTS, "'Sin HTTPS'", strong=True),
     ]
 
 
-def _word_rules() -> list[Rule]:
-    brand, strong0, strong1 = F.col("_brand"), F.col("_strong0"), F.col("_strong1")
-    hc, promo, urgency = F.col("_hc"), F.col("_promo"), F.col("_urgency")
+def _named(text: str, words: str) -> str:
+    return f"concat({sql_text(text)}, array_join({words}, ', '))"
 
-    def named(text: str, words: Column) -> Column:
-        return F.concat(F.lit(text), F.array_join(words, ", "))
 
-    n_hc, n_promo, n_urgency = F.size(hc), F.size(promo), F.size(urgency)
-    high = [
+def _word_rules() -> list[Rule]:
+    hc, promo, urgency = "size(_hc)", "size(_promo)", "size(_urgency)"
+    backed = f"(_brand OR _strong1 OR {promo} > 0)"
+    return [
         Rule(
-            (n_hc > 0) & brand,
-            n_hc * C.HIGH_CONFIDENCE_BRAND_POINTS,
-            named("Keywords de alta confianza (contexto marca): ", hc),
+            f"{hc} > 0 AND _brand",
+            f"{hc} * {C.HIGH_CONFIDENCE_BRAND_POINTS}",
+            _named("Keywords de alta confianza (contexto marca): ", "_hc"),
         ),
         Rule(
-            (n_hc > 0) & ~brand & strong0,
-            n_hc * C.HIGH_CONFIDENCE_STRONG_POINTS,
-            named("Keywords de alta confianza (con señales fuertes): ", hc),
+            f"{hc} > 0 AND NOT _brand AND _strong0",
+            f"{hc} * {C.HIGH_CONFIDENCE_STRONG_POINTS}",
+            _named("Keywords de alta confianza (con señales fuertes): ", "_hc"),
         ),
         Rule(
-            (n_hc > 0) & ~brand & ~strong0,
-            n_hc * C.HIGH_CONFIDENCE_ALONE_POINTS,
-            named("Keywords de alta confianza (aisladas): ", hc),
+            f"{hc} > 0 AND NOT _brand AND NOT _strong0",
+            f"{hc} * {C.HIGH_CONFIDENCE_ALONE_POINTS}",
+            _named("Keywords de alta confianza (aisladas): ", "_hc"),
         ),
-    ]
-    promotional = [
         Rule(
-            (n_promo > 0) & brand,
-            n_promo * C.PROMO_BRAND_POINTS,
-            named("Keywords promocionales junto a marca: ", promo),
+            f"{promo} > 0 AND _brand",
+            f"{promo} * {C.PROMO_BRAND_POINTS}",
+            _named("Keywords promocionales junto a marca: ", "_promo"),
         ),
         Rule(
-            (n_promo > 0) & ~brand & strong1,
-            n_promo * C.PROMO_POINTS,
-            named("Keywords promocionales con señales fuertes: ", promo),
+            f"{promo} > 0 AND NOT _brand AND _strong1",
+            f"{promo} * {C.PROMO_POINTS}",
+            _named("Keywords promocionales con señales fuertes: ", "_promo"),
         ),
         Rule(
-            (n_promo > 0) & ~brand & ~strong1,
+            f"{promo} > 0 AND NOT _brand AND NOT _strong1",
             C.PROMO_POINTS,
-            named("Keywords promocionales aisladas: ", promo),
+            _named("Keywords promocionales aisladas: ", "_promo"),
         ),
+        Rule(
+            f"{urgency} > 0 AND {backed}",
+            f"{urgency} * {C.URGENCY_POINTS}",
+            _named("Keywords urgencia: ", "_urgency"),
+        ),
+        Rule(f"{urgency} > 0 AND NOT {backed}", C.URGENCY_ALONE_POINTS, None),
     ]
-    backed = brand | strong1 | (n_promo > 0)
-    urgent = [
-        Rule((n_urgency > 0) & backed, n_urgency * C.URGENCY_POINTS, named("Keywords urgencia: ", urgency)),
-        Rule((n_urgency > 0) & ~backed, C.URGENCY_ALONE_POINTS, None),
-    ]
-    return [*high, *promotional, *urgent]
 
 
 def score_domain(
@@ -175,91 +163,70 @@ def score_domain(
     the fact columns.  Everything is one narrow projection chain: no shuffle.
     ``brands`` is a short list and becomes literals of the plan.
     """
-    had_reasons = "reasons" in df.columns
-    stored = F.coalesce("reasons", text_array([])) if had_reasons else text_array([])
-    url = F.trim(F.coalesce("url", F.lit("")))
-    out = df.withColumns(
-        {
-            "_url": url,
-            "_path": F.lower(url_path(url)),
-            "_title": F.lower(F.coalesce("title", F.lit(""))),
-            "_snippet": F.lower(F.coalesce("snippet", F.lit(""))),
-            "_base": F.lower(F.coalesce("base_domain", F.lit(""))),
-            "_stored": stored,
-            "_filtered": F.coalesce("filtered", F.lit(False)),
-            "_age": whole_days(as_timestamp(as_of), F.col("creation_date")),
-        }
+    none = "CAST(array() AS ARRAY<STRING>)"
+    stored = f"coalesce(reasons, {none})" if "reasons" in df.columns else none
+    out = df.select(
+        "*",
+        F.lower(url_path(F.trim("url"))).alias("_raw_path"),
+        whole_days(as_timestamp(as_of), F.col("creation_date")).alias("_age"),
+    ).selectExpr(
+        "*",
+        "trim(coalesce(url, '')) AS _url",
+        "coalesce(_raw_path, '') AS _path",
+        "lower(coalesce(title, '')) AS _title",
+        "lower(coalesce(snippet, '')) AS _snippet",
+        "lower(coalesce(base_domain, '')) AS _base",
+        f"{stored} AS _stored",
+        "coalesce(filtered, false) AS _filtered",
     )
     out = out.withColumn("_tokens", word_tokens(F.concat_ws(" ", "_base", "_path", "_title", "_snippet")))
 
-    def hits(words) -> Column:
-        return F.array_sort(F.array_intersect("_tokens", text_array(words)))
-
-    labels = F.split(F.coalesce("domain", F.lit("")), "[.]")
-    sub = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), ".")
-    out = out.withColumns(
-        {
-            "_brand": brand_present(brands),
-            "_hc": hits(C.HIGH_CONFIDENCE_WORDS),
-            "_promo": hits(C.PROMO_WORDS),
-            "_urgency": hits(C.SITE_URGENCY_WORDS),
-            "_similar": similar_known_domains(F.col("_base")),
-            "_sub": F.when(F.size(labels) > 3, sub).otherwise(F.lit("")),
-        }
+    def hits(words) -> str:
+        return f"array_sort(array_intersect(_tokens, {sql_array(words)}))"
+
+    labels = "split(coalesce(domain, ''), '[.]')"
+    out = out.selectExpr(
+        "*",
+        f"{brand_present(brands)} AS _brand",
+        f"{hits(C.HIGH_CONFIDENCE_WORDS)} AS _hc",
+        f"{hits(C.PROMO_WORDS)} AS _promo",
+        f"{hits(C.SITE_URGENCY_WORDS)} AS _urgency",
+        f"{similar_known_domains('_base')} AS _similar",
+        f"CASE WHEN size({labels}) > 3 THEN array_join(slice({labels}, 1, size({labels}) - 2), '.') "
+        "ELSE '' END AS _sub",
     )
-    out, facts = fire(out, _facts_rules(), "_f")
+    out, facts = fire(out, _fact_rules(), "_f")
     # Later rules read the flag as it stands after the earlier ones.
-    out = out.withColumn("_strong0", facts.strong())
-    out = out.withColumn("_strong1", F.col("_strong0") | ((F.size("_hc") > 0) & F.col("_brand")))
-    out, words = fire(out, _word_rules(), "_w")
-    similar_reasons = F.transform(
-        "_similar", lambda k: F.concat(F.lit("Similar a "), k, F.lit(" (typosquatting posible)"))
+    out = out.selectExpr("*", f"({facts.strong()}) AS _strong0").selectExpr(
+        "*",
+        "_strong0 OR (size(_hc) > 0 AND _brand) AS _strong1",
+        f"{contains_any_sql('_sub', C.SUSPICIOUS_SUBDOMAIN_WORDS)} AS _bad_sub",
     )
-    sub_reason = F.when(
-        F.col("_bad_sub"), F.array(F.concat(F.lit("Subdominio sospechoso: "), F.col("_sub")))
-    ).otherwise(text_array([]))
-    out = out.withColumn("_bad_sub", contains_any(F.col("_sub"), C.SUSPICIOUS_SUBDOMAIN_WORDS)).withColumns(
-        {
-            "_score": F.least(
-                F.lit(100),
-                facts.points()
-                + words.points()
-                + F.size("_similar") * C.SIMILAR_DOMAIN_POINTS
-                + F.when(F.col("_bad_sub"), F.lit(C.SUSPICIOUS_SUBDOMAIN_POINTS)).otherwise(F.lit(0)),
-            ).cast("int"),
-            "_reasons1": F.concat(facts.reasons(), words.reasons(), similar_reasons, sub_reason),
-            "_strong2": F.col("_strong1") | (F.size("_similar") > 0) | F.col("_bad_sub"),
-        }
-    )
-    over = F.col("_score") >= threshold
-    by_brand = ~over & F.col("_strong2") & F.col("_brand")
-    verdict = F.struct(
-        (over | by_brand).alias("suspicious"),
-        F.when(
-            by_brand,
-            F.array_append("_reasons1", F.lit("Señales fuertes combinadas con mención de marca")),
-        )
-        .otherwise(F.col("_reasons1"))
-        .alias("reasons"),
-        F.col("_score").alias("score"),
-    )
-
-    def fixed(suspicious: bool, reasons: Column, score: int) -> Column:
-        return F.struct(
-            F.lit(suspicious).alias("suspicious"), reasons.alias("reasons"), F.lit(score).alias("score")
-        )
-
-    chosen = (
-        F.when(F.col("_filtered"), fixed(False, F.col("_stored"), 0))
-        .when(F.col("ns_count").isNull(), fixed(True, text_array(["Error en evaluación"]), 50))
-        .otherwise(verdict)
+    out, words = fire(out, _word_rules(), "_w")
+    out = out.selectExpr(
+        "*",
+        f"CAST(least(100, {facts.points()} + {words.points()} + "
+        f"size(_similar) * {C.SIMILAR_DOMAIN_POINTS} + "
+        f"CASE WHEN _bad_sub THEN {C.SUSPICIOUS_SUBDOMAIN_POINTS} ELSE 0 END) AS INT) AS _score",
+        f"concat({facts.reasons()}, {words.reasons()}, "
+        "transform(_similar, k -> concat('Similar a ', k, ' (typosquatting posible)')), "
+        "CASE WHEN _bad_sub THEN array(concat('Subdominio sospechoso: ', _sub)) "
+        f"ELSE {none} END) AS _reasons",
+        "_strong1 OR size(_similar) > 0 OR _bad_sub AS _strong2",
     )
+    # A filtered site keeps its stored reasons.  A record that lacks ns_count
+    # cannot be evaluated and counts as suspicious.
+    failed = "ns_count IS NULL"
+    by_brand = f"_score < {threshold} AND _strong2 AND _brand"
     keep = [c for c in df.columns if c not in ("suspicious", "reasons", "score")]
-    return out.withColumn("_v", chosen).select(
-        *keep,
-        F.col("_v.suspicious").alias("suspicious"),
-        F.col("_v.reasons").alias("reasons"),
-        F.col("_v.score").alias("score"),
+    return out.selectExpr(
+        *[f"`{c}`" for c in keep],
+        f"CASE WHEN _filtered THEN false WHEN {failed} THEN true "
+        f"ELSE _score >= {threshold} OR (_strong2 AND _brand) END AS suspicious",
+        f"CASE WHEN _filtered THEN _stored WHEN {failed} THEN array('Error en evaluación') "
+        f"WHEN {by_brand} THEN array_append(_reasons, 'Señales fuertes combinadas con mención de marca') "
+        "ELSE _reasons END AS reasons",
+        f"CASE WHEN _filtered THEN 0 WHEN {failed} THEN 50 ELSE _score END AS score",
     )
 
 

@@ -116,14 +116,14 @@ def similar_pairs(
     keyed_left = _keyed(lefts, lname, "_ll", "_lr", right_lengths, *bounds)
     keyed_right = _keyed(rights, rname, "_lr", "_ll", left_lengths, *bounds)
     pairs = keyed_left.join(keyed_right, ["_ll", "_lr", "_k"])
-    a, b = F.col(lname), F.col(rname)
+    a, b = f"`{lname}`", f"`{rname}`"
     plausible = may_reach_jaro_winkler(a, b, min_jw)
     if min_lev is not None:
-        plausible = plausible | (levenshtein_similarity(a, b) > min_lev)
+        plausible = f"{plausible} OR {levenshtein_similarity(a, b)} > {min_lev}D"
     # A pair can meet under several keys.
     candidates = pairs.filter(plausible).select(lname, rname).distinct()
-    scored = candidates.select(
-        lname, rname, jaro_winkler(a, b).alias("jw"), levenshtein_similarity(a, b).alias("lev")
+    scored = candidates.selectExpr(
+        a, b, f"{jaro_winkler(a, b)} AS jw", f"{levenshtein_similarity(a, b)} AS lev"
     )
     wanted = F.col("jw") > min_jw
     if min_lev is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from urltriage import config as C
 from urltriage.functions import html as H
 from urltriage.functions import keywords as W
 from urltriage.functions.similarity import hex_similarity, typosquat_score
-from urltriage.functions.text import contains_any, text_array
+from urltriage.functions.text import contains_any, sql_text
 from urltriage.functions.urls import (
     is_https_scheme,
     reference_host,
@@ -39,30 +41,21 @@ def text_snippets(text: Column, occ: Column) -> Column:
     return W.snippets(text, occ, SNIPPET_KEYWORDS)
 
 
-def _input_struct(attributes: Column) -> Column:
-    def present(name: str) -> Column:
-        return F.nullif(H.attribute(attributes, name), F.lit(""))
-
-    return F.struct(
-        F.lower(F.coalesce(present("type"), F.lit("text"))).alias("type"),
-        F.lower(F.coalesce(present("name"), present("id"), F.lit(""))).alias("name"),
-    )
-
-
-def parsed_forms(dom: Column) -> Column:
+def parsed_forms(dom: str) -> Column:
     """Forms with action, method and inputs (no judgement yet)."""
-
-    def parse(form: Column) -> Column:
-        attributes = H.form_attributes(form)
-        return F.struct(
-            F.coalesce(H.attribute(attributes, "action"), F.lit("")).alias("action"),
-            F.lower(
-                F.coalesce(F.nullif(H.attribute(attributes, "method"), F.lit("")), F.lit("get"))
-            ).alias("method"),
-            F.transform(H.tag_attributes(form, "input"), _input_struct).alias("inputs"),
-        )
-
-    return F.transform(H.split_forms(dom), parse)
+    field = {n: H.attribute("ia", n) for n in ("type", "name", "id")}
+    inputs = (
+        f"transform({H.tag_attributes('fm', 'input')}, ia -> named_struct("
+        f"'type', lower(coalesce(nullif({field['type']}, ''), 'text')), "
+        f"'name', lower(coalesce(nullif({field['name']}, ''), nullif({field['id']}, ''), ''))))"
+    )
+    form = (
+        f"transform({H.forms(dom)}, fm -> get(transform(array({H.form_attributes('fm')}), fa -> named_struct("
+        f"'action', coalesce({H.attribute('fa', 'action')}, ''), "
+        f"'method', lower(coalesce(nullif({H.attribute('fa', 'method')}, ''), 'get')), "
+        f"'inputs', {inputs})), 0))"
+    )
+    return F.expr(form)
 
 
 def judged_forms(forms: Column, base_domain: Column) -> Column:
@@ -108,10 +101,10 @@ def form_aggregates(df: DataFrame, forms_col: str = "forms") -> DataFrame:
     )
 
 
-def link_hosts(dom: Column) -> Column:
+def link_hosts(dom: str) -> Column:
     """Host of each a[href]; blank for relative links and other schemes."""
-    hrefs = F.transform(H.tag_attributes(dom, "a"), lambda a: H.attribute(a, "href"))
-    return F.transform(F.array_compact(hrefs), lambda h: reference_host(h))
+    hrefs = f"array_compact(transform({H.tag_attributes(dom, 'a')}, la -> {H.attribute('la', 'href')}))"
+    return F.transform(F.expr(hrefs), lambda h: reference_host(h))
 
 
 def external_ratio(hosts: Column, base_domain: Column) -> Column:
@@ -121,39 +114,23 @@ def external_ratio(hosts: Column, base_domain: Column) -> Column:
     )
 
 
-def meta_map(dom: Column) -> Column:
+def meta_map(dom: str) -> Column:
     """Meta name -> content; of repeated names the last wins."""
-    pairs = F.filter(
-        F.transform(
-            H.tag_attributes(dom, "meta"),
-            lambda a: F.struct(
-                F.lower(H.attribute(a, "name")).alias("k"), H.attribute(a, "content").alias("v")
-            ),
-        ),
-        lambda p: p["k"].isNotNull() & p["v"].isNotNull(),
+    pairs = (
+        f"filter(transform({H.tag_attributes(dom, 'meta')}, ma -> named_struct("
+        f"'k', lower({H.attribute('ma', 'name')}), 'v', {H.attribute('ma', 'content')})), "
+        "mp -> mp.k IS NOT NULL AND mp.v IS NOT NULL)"
     )
-    named = F.array(pairs)
-    last = F.flatten(
-        F.transform(
-            named,
-            lambda ps: F.filter(
-                ps,
-                lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda later: later["k"] == p["k"]),
-            ),
-        )
+    last = (
+        f"flatten(transform(array({pairs}), ms -> filter(ms, (mp, mi) -> "
+        "NOT exists(slice(ms, mi + 2, size(ms)), later -> later.k = mp.k))))"
     )
-    return F.map_from_entries(last)
+    return F.expr(f"map_from_entries({last})")
 
 
-def image_array(dom: Column) -> Column:
-    return F.transform(
-        H.tag_attributes(dom, "img"),
-        lambda a: F.struct(
-            H.attribute(a, "src").alias("src"),
-            H.attribute(a, "alt").alias("alt"),
-            H.attribute(a, "title").alias("title"),
-        ),
-    )
+def image_array(dom: str) -> Column:
+    fields = ", ".join(f"'{n}', {H.attribute('ga', n)}" for n in ("src", "alt", "title"))
+    return F.expr(f"transform({H.tag_attributes(dom, 'img')}, ga -> named_struct({fields}))")
 
 
 def _names_logo(image: Column, brand: Column) -> Column:
@@ -193,14 +170,14 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     dom = pages.withColumn("_dom", H.strip_hidden(F.coalesce("html", F.lit(""))))
     parsed = dom.withColumns(
         {
-            "text": H.visible_text(F.col("_dom")),
-            "title": H.title_text(F.col("_dom")),
-            "images_count": H.tag_count(F.col("_dom"), "img"),
-            "buttons_count": H.tag_count(F.col("_dom"), "button"),
-            "images": image_array(F.col("_dom")),
-            "_forms": parsed_forms(F.col("_dom")),
-            "_links": link_hosts(F.col("_dom")),
-            "meta": meta_map(F.col("_dom")),
+            "text": H.visible_text("_dom"),
+            "title": H.title_text("_dom"),
+            "images_count": F.expr(H.tag_count("_dom", "img")),
+            "buttons_count": F.expr(H.tag_count("_dom", "button")),
+            "images": image_array("_dom"),
+            "_forms": parsed_forms("_dom"),
+            "_links": link_hosts("_dom"),
+            "meta": meta_map("_dom"),
         }
     ).drop("_dom", "html")
     counted = keyword_features(parsed, "text")
@@ -216,9 +193,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def brand_flags(df: DataFrame, brand_col: str = "brand", url_col: str = "url") -> DataFrame:
     """Brand in domain, as the domain itself, in path or subdomain; whitelists."""
     brand = F.lower(F.col(brand_col))
-    listed = F.lit(False)
-    for name, domain in C.BRAND_WHITELIST:
-        listed = listed | ((brand == name) & (F.lower("base_domain") == domain))
+    listed = F.concat_ws(" ", brand, F.lower("base_domain")).isin(
+        *[f"{name} {domain}" for name, domain in C.BRAND_WHITELIST]
+    )
     return df.withColumns(
         {
             "brand_in_domain": F.contains("base_domain", brand) | F.contains("host", brand),
@@ -250,7 +227,7 @@ def page_features(pages: DataFrame, suffixes: DataFrame | None = None) -> DataFr
         {
             "forms": judged_forms(F.col("_forms"), F.col("base_domain")),
             "external_links_ratio": external_ratio(F.col("_links"), F.col("base_domain")),
-            "typo_score": typosquat_score(F.col("brand"), F.col("domain_core")),
+            "typo_score": F.expr(typosquat_score("brand", "domain_core")),
             "logo_matches": logo_candidates(F.col("images"), F.col("brand")),
         }
     ).drop("_forms", "_links")
@@ -267,12 +244,9 @@ def logo_similarity(
     ``page_images`` has the key columns, brand, final_url and images.  Image
     content is hashed where it lies, so only (src, similarity) is shuffled.
     """
-    known = F.md5(F.lit(bytearray(known_logo)))
-    hashed = images.select(
-        F.col("src").alias("_src"),
-        F.when(F.length("content") > 0, hex_similarity(F.md5("content"), known))
-        .otherwise(F.lit(0.0))
-        .alias("_sim"),
+    known = hashlib.md5(known_logo).hexdigest()
+    hashed = images.selectExpr("src AS _src", "md5(content) AS _digest", "length(content) > 0 AS _filled").selectExpr(
+        "_src", f"CASE WHEN _filled THEN {hex_similarity('_digest', sql_text(known))} ELSE 0D END AS _sim"
     )
     shown = page_images.select(
         *key_cols,

@@ -2,162 +2,165 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urltriage import config as C
-from urltriage.functions.text import linear_damped, log_damped, sigmoid, two_decimals
+from urltriage.functions.text import (
+    linear_damped_sql,
+    log_damped_sql,
+    sigmoid_sql,
+    sql_text,
+    two_decimals_sql,
+)
 from urltriage.operators.rules import Rule, fire
 
 PHISHING_FROM = 0.7
 SUSPECT_FROM = 0.3
+CATEGORY = (
+    f"CASE WHEN score >= {PHISHING_FROM}D THEN 'phishing' "
+    f"WHEN score >= {SUSPECT_FROM}D THEN 'suspect' ELSE 'legit' END"
+)
+LEGIT_REASON = "Override: Señales legit fuertes (dominio viejo, SSL válido, logo match)"
 
 
-def _count(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
+def _with(text: str, value: str, after: str = "") -> str:
+    return f"concat({sql_text(text)}, {value}, {sql_text(after)})"
 
 
-def _text(prefix: str, value: Column, suffix: str = "") -> Column:
-    return F.concat(F.lit(prefix), value.cast("string"), F.lit(suffix))
-
-
-def _optional(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
-
-
-def page_rules(df: DataFrame, options: C.PageRiskOptions) -> list[Rule]:
+def page_rules(columns: set[str], options: C.PageRiskOptions) -> list[Rule]:
+    """Rules in order; inputs nobody produces are optional columns."""
     w = options.weights
-    exact, in_domain = F.col("exact_brand_domain"), F.col("brand_in_domain")
-    passwords, emails = _count("password_inputs_count"), _count("email_inputs_count")
-    odd_forms, forms = _count("suspicious_forms_count"), _count("forms_count")
-    action_ratio = F.coalesce("forms_external_action_ratio", F.lit(0.0))
-    credential, shop = _count("credential_keywords_count"), _count("ecommerce_keywords_count")
-    urgency, phishing = _count("urgency_keywords_count"), _count("phishing_keywords_count")
-    replica, text_len = _count("replica_keywords_count"), _count("text_len")
-    backed = (passwords > 0) | (odd_forms > 0) | (phishing > 0)
-    several = phishing >= 2
+    backed = "(password_inputs_count > 0 OR suspicious_forms_count > 0 OR phishing_keywords_count > 0)"
+    several = "phishing_keywords_count >= 2"
     if options.snippet_arm:
-        near = F.exists("text_snippets", lambda s: F.contains(F.lower(s), F.lower("brand")))
-        several = several | ((phishing > 0) & near)
-    contact = F.coalesce(
-        _optional(df, "contact_info_suspicious", "boolean"), F.lit(options.default_contact_suspicious)
+        near = "exists(text_snippets, s -> contains(lower(s), lower(brand)))"
+        several = f"({several} OR (phishing_keywords_count > 0 AND {near}))"
+    unknown_contact = str(options.default_contact_suspicious).lower()
+    contact = (
+        f"coalesce(contact_info_suspicious, {unknown_contact})"
+        if "contact_info_suspicious" in columns
+        else unknown_contact
     )
-    brands_mixed = F.coalesce(_optional(df, "multi_brand_detected", "boolean"), F.lit(False))
-    logo = F.coalesce(_optional(df, "logo_similarity", "double"), F.lit(0.0))
-    typo = F.coalesce("typo_score", F.lit(0.0))
-    age, ssl_age = F.col("domain_age_days"), F.col("ssl_age_days")
-    issuer = F.col("ssl_issuer")
-    override = "Plataforma oficial / retailer (whitelist override)"
+    several_brands = "multi_brand_detected" if "multi_brand_detected" in columns else "false"
+    suffixes = ", ".join(sql_text(s) for s in C.SUSPICIOUS_SUFFIXES)
+    issuers = ", ".join(sql_text(s) for s in C.TRUSTED_ISSUERS)
+    official = "'Plataforma oficial / retailer (whitelist override)'"
+    not_brand = "NOT exact_brand_domain"
     return [
-        Rule(exact, F.lit(w.exact_brand_domain), "Dominio exacto de la marca (confianza)"),
-        Rule(~exact & in_domain, F.lit(w.brand_in_domain), "Marca en dominio (reduce sospecha)"),
+        Rule("exact_brand_domain", w.exact_brand_domain, "'Dominio exacto de la marca (confianza)'"),
         Rule(
-            ~exact & ~in_domain & F.col("brand_in_path"),
-            F.lit(w.brand_in_path),
-            "Marca en path/subdominio pero no en dominio base (posible spoof)",
+            f"{not_brand} AND brand_in_domain", w.brand_in_domain, "'Marca en dominio (reduce sospecha)'"
         ),
-        Rule(F.col("brand_whitelisted"), F.lit(w.whitelisted_platform), override),
-        Rule(passwords > 0, F.lit(w.password_input), _text("Formularios con campo password: ", passwords)),
-        Rule(emails > 0, F.lit(w.password_input), _text("Formularios con campo email: ", emails)),
         Rule(
-            odd_forms > 0,
-            F.lit(w.password_input),
-            _text("Formularios con campos sospechosos (e.g., card_number): ", odd_forms),
+            f"{not_brand} AND NOT brand_in_domain AND brand_in_path",
+            w.brand_in_path,
+            "'Marca en path/subdominio pero no en dominio base (posible spoof)'",
         ),
-        Rule(forms > 2, F.lit(w.many_forms), _text("Multiples formularios (", forms, ")")),
+        Rule("brand_whitelisted", w.whitelisted_platform, official),
         Rule(
-            action_ratio > 0.2,
-            F.lit(w.form_action_external) * action_ratio,
-            _text("Ratio forms->dominios externos: ", two_decimals(action_ratio)),
+            "password_inputs_count > 0",
+            w.password_input,
+            _with("Formularios con campo password: ", "password_inputs_count"),
         ),
         Rule(
-            credential > 0,
-            F.lit(w.credential_keywords) * log_damped(credential),
-            _text("Keywords de credenciales en página: ", credential),
+            "email_inputs_count > 0",
+            w.password_input,
+            _with("Formularios con campo email: ", "email_inputs_count"),
         ),
         Rule(
-            (shop > 0) & backed,
-            F.lit(w.ecommerce_keywords) * linear_damped(shop, 10),
-            _text("Keywords ecommerce junto a formularios o phishing: ", shop),
+            "suspicious_forms_count > 0",
+            w.password_input,
+            _with("Formularios con campos sospechosos (e.g., card_number): ", "suspicious_forms_count"),
         ),
+        Rule("forms_count > 2", w.many_forms, _with("Multiples formularios (", "forms_count", ")")),
         Rule(
-            (urgency > 0) & backed,
-            F.lit(w.urgency_keywords) * linear_damped(urgency, 5),
-            _text("Keywords de urgencia con señales fuertes: ", urgency),
+            "forms_external_action_ratio > 0.2D",
+            f"{w.form_action_external}D * forms_external_action_ratio",
+            _with("Ratio forms->dominios externos: ", two_decimals_sql("forms_external_action_ratio")),
         ),
         Rule(
-            several,
-            F.lit(w.phishing_keywords) * linear_damped(phishing, 5),
-            _text("Keywords de phishing (múltiples o cerca de marca): ", phishing),
+            "credential_keywords_count > 0",
+            f"{w.credential_keywords}D * {log_damped_sql('credential_keywords_count')}",
+            _with("Keywords de credenciales en página: ", "credential_keywords_count"),
         ),
         Rule(
-            replica > 0,
-            F.lit(w.replica_keywords),
-            _text("Keywords de replica/mercancía falsa: ", replica),
+            f"ecommerce_keywords_count > 0 AND {backed}",
+            f"{w.ecommerce_keywords}D * {linear_damped_sql('ecommerce_keywords_count', 10)}",
+            _with("Keywords ecommerce junto a formularios o phishing: ", "ecommerce_keywords_count"),
         ),
         Rule(
-            F.col("suspicious_payment"),
-            F.lit(w.suspicious_payment),
-            "Método de pago sospechoso (tarjeta directa sin pasarela confiable)",
+            f"urgency_keywords_count > 0 AND {backed}",
+            f"{w.urgency_keywords}D * {linear_damped_sql('urgency_keywords_count', 5)}",
+            _with("Keywords de urgencia con señales fuertes: ", "urgency_keywords_count"),
         ),
         Rule(
-            contact,
-            F.lit(w.contact_info_suspicious),
-            "Información de contacto insuficiente o email gratuito",
+            several,
+            f"{w.phishing_keywords}D * {linear_damped_sql('phishing_keywords_count', 5)}",
+            _with("Keywords de phishing (múltiples o cerca de marca): ", "phishing_keywords_count"),
         ),
         Rule(
-            brands_mixed,
-            F.lit(w.multi_brand_detected),
-            "Inventario con múltiples marcas no relacionadas (scam típico)",
+            "replica_keywords_count > 0",
+            w.replica_keywords,
+            _with("Keywords de replica/mercancía falsa: ", "replica_keywords_count"),
         ),
         Rule(
-            logo > 0.8,
-            F.lit(w.images_logo_match),
-            F.concat(F.lit("Logo similar detectado (sim: "), two_decimals(logo), F.lit(")")),
+            "suspicious_payment",
+            w.suspicious_payment,
+            "'Método de pago sospechoso (tarjeta directa sin pasarela confiable)'",
         ),
         Rule(
-            F.col("suffix").isin(*C.SUSPICIOUS_SUFFIXES),
-            F.lit(w.suspicious_suffix),
-            _text("TLD sospechoso: .", F.col("suffix")),
+            contact, w.contact_info_suspicious, "'Información de contacto insuficiente o email gratuito'"
         ),
         Rule(
-            typo > 0.5,
-            F.lit(w.typo_similar_brand) * F.least(F.lit(1.0), typo),
-            _text("Similitud tipográfica con marca: ", two_decimals(typo)),
+            several_brands,
+            w.multi_brand_detected,
+            "'Inventario con múltiples marcas no relacionadas (scam típico)'",
         ),
         Rule(
-            F.col("external_links_ratio") > 0.6,
-            F.lit(w.external_links_ratio),
-            "Alta proporción de enlaces externos (posible redirección/affiliate)",
+            "_logo > 0.8D",
+            w.images_logo_match,
+            _with("Logo similar detectado (sim: ", two_decimals_sql("_logo"), ")"),
         ),
+        Rule(f"suffix IN ({suffixes})", w.suspicious_suffix, _with("TLD sospechoso: .", "suffix")),
         Rule(
-            (text_len < C.MIN_TEXT_LENGTH) & (forms > 0),
-            F.lit(w.low_text_to_form_ratio),
-            "Poca cantidad de texto frente a formularios (página muy simple)",
+            "typo_score > 0.5D",
+            f"{w.typo_similar_brand}D * least(1D, typo_score)",
+            _with("Similitud tipográfica con marca: ", two_decimals_sql("typo_score")),
         ),
         Rule(
-            F.col("informational_context"),
-            F.lit(w.informational_context),
-            "Contenido claramente educativo/informativo (reduce sospecha)",
+            "external_links_ratio > 0.6D",
+            w.external_links_ratio,
+            "'Alta proporción de enlaces externos (posible redirección/affiliate)'",
         ),
-        Rule(F.col("whitelisted_platform"), F.lit(w.whitelisted_platform), override),
-        Rule(~F.coalesce("is_https", F.lit(False)), F.lit(w.https_missing), "Sin HTTPS"),
-        Rule(age < 180, F.lit(w.domain_young), _text("Domini o joven: ", age, " días")),
-        Rule(~F.col("ssl_valid"), F.lit(w.ssl_invalid), "SSL inválido o ausente"),
         Rule(
-            (ssl_age < 30) & (age < 90),
-            F.lit(w.ssl_young),
-            _text("Cert SSL joven: ", ssl_age, " días"),
+            f"text_len < {C.MIN_TEXT_LENGTH} AND forms_count > 0",
+            w.low_text_to_form_ratio,
+            "'Poca cantidad de texto frente a formularios (página muy simple)'",
         ),
         Rule(
-            (issuer != "") & ~issuer.isin(*C.TRUSTED_ISSUERS),
-            F.lit(w.ssl_untrusted_issuer),
-            _text("Emisor SSL no confiable: ", issuer),
+            "informational_context",
+            w.informational_context,
+            "'Contenido claramente educativo/informativo (reduce sospecha)'",
         ),
+        Rule("whitelisted_platform", w.whitelisted_platform, official),
+        Rule("NOT coalesce(is_https, false)", w.https_missing, "'Sin HTTPS'"),
+        Rule("domain_age_days < 180", w.domain_young, _with("Domini o joven: ", "domain_age_days", " días")),
+        Rule("NOT ssl_valid", w.ssl_invalid, "'SSL inválido o ausente'"),
         Rule(
-            (_count("images_count") > 20) & (text_len < 1000),
-            F.lit(w.high_img_low_text),
-            "Alta cantidad de imágenes con poco texto (posible fake shop)",
+            "ssl_age_days < 30 AND domain_age_days < 90",
+            w.ssl_young,
+            _with("Cert SSL joven: ", "ssl_age_days", " días"),
+        ),
+        Rule(
+            f"ssl_issuer != '' AND ssl_issuer NOT IN ({issuers})",
+            w.ssl_untrusted_issuer,
+            _with("Emisor SSL no confiable: ", "ssl_issuer"),
+        ),
+        Rule(
+            "images_count > 20 AND text_len < 1000",
+            w.high_img_low_text,
+            "'Alta cantidad de imágenes con poco texto (posible fake shop)'",
         ),
     ]
 
@@ -165,36 +168,22 @@ def page_rules(df: DataFrame, options: C.PageRiskOptions) -> list[Rule]:
 def score_page(df: DataFrame, options: C.PageRiskOptions | None = None) -> DataFrame:
     """Add score (rounded to four decimals), category and reasons."""
     options = options or C.PageRiskOptions()
-    flagged, fired = fire(df, page_rules(df, options), "_g")
-    total = fired.points().cast("double")
-    logo = F.coalesce(_optional(df, "logo_similarity", "double"), F.lit(0.0))
+    columns = set(df.columns)
+    logo = "coalesce(logo_similarity, 0D)" if "logo_similarity" in columns else "0D"
+    known = df.selectExpr("*", f"{logo} AS _logo")
+    flagged, fired = fire(known, page_rules(columns, options), "_g")
     legit = (
-        F.coalesce("exact_brand_domain", F.lit(False))
-        | F.coalesce("whitelisted_platform", F.lit(False))
-        | (
-            (logo > 0.8)
-            & (F.coalesce("domain_age_days", F.lit(0)) > 365)
-            & F.coalesce("ssl_valid", F.lit(False))
-        )
+        "coalesce(exact_brand_domain, false) OR coalesce(whitelisted_platform, false) OR "
+        "(_logo > 0.8D AND coalesce(domain_age_days, 0) > 365 AND coalesce(ssl_valid, false))"
     )
-    raw = flagged.withColumns(
-        {"_raw": sigmoid(total), "_legit": legit, "_reasons": fired.reasons()}
+    raw = flagged.selectExpr(
+        "*", f"{sigmoid_sql(fired.points())} AS _raw", f"({legit}) AS _legit", f"{fired.reasons()} AS _reasons"
     )
-    final = F.when(F.col("_legit"), F.greatest(F.lit(0.0), F.col("_raw") - 0.5)).otherwise(F.col("_raw"))
-    note = F.lit("Override: Señales legit fuertes (dominio viejo, SSL válido, logo match)")
-    noted = F.when(F.col("_legit"), F.array_append("_reasons", note)).otherwise(F.col("_reasons"))
-    return (
-        raw.withColumns(
-            {"score": F.round(final, 4), "reasons": F.array_sort(F.array_distinct(noted))}
-        )
-        .withColumn("category", category(F.col("score")))
-        .drop("_raw", "_legit", "_reasons", *fired.columns)
-    )
-
-
-def category(score: Column) -> Column:
-    return (
-        F.when(score >= PHISHING_FROM, F.lit("phishing"))
-        .when(score >= SUSPECT_FROM, F.lit("suspect"))
-        .otherwise(F.lit("legit"))
+    kept = [f"`{c}`" for c in df.columns]
+    scored = raw.selectExpr(
+        *kept,
+        "round(CASE WHEN _legit THEN greatest(0D, _raw - 0.5D) ELSE _raw END, 4) AS score",
+        f"array_sort(array_distinct(CASE WHEN _legit THEN array_append(_reasons, {sql_text(LEGIT_REASON)}) "
+        "ELSE _reasons END)) AS reasons",
     )
+    return scored.withColumn("category", F.expr(CATEGORY))

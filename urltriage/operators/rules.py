@@ -1,23 +1,23 @@
-"""Weighted rules as data, evaluated in two narrow steps."""
+"""Weighted rules as data, evaluated in narrow steps."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from urltriage.functions.text import text_array
+from pyspark.sql import DataFrame
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Adds ``points`` and ``reason`` when the condition holds (null is no)."""
+    """Adds ``points`` and ``reason`` when the condition holds (null is no).
+
+    All three are SQL text over the columns of the scored table.
+    """
 
-    when: Column
-    points: Column | int | float
-    reason: Column | str | None
+    when: str
+    points: str | int | float
+    reason: str | None
     strong: bool = False
 
 
@@ -28,34 +28,22 @@ class Fired:
     rules: Sequence[Rule]
     columns: Sequence[str]
 
-    def points(self) -> Column:
-        parts = [
-            F.when(F.col(c), _lit(r.points)).otherwise(F.lit(0))
-            for r, c in zip(self.rules, self.columns, strict=True)
-        ]
-        total = parts[0]
-        for part in parts[1:]:
-            total = total + part
-        return total
+    def points(self) -> str:
+        parts = zip(self.rules, self.columns, strict=True)
+        return " + ".join(f"CASE WHEN {c} THEN {_number(r.points)} ELSE 0 END" for r, c in parts)
 
-    def reasons(self) -> Column:
-        texts = [
-            F.when(F.col(c), _lit(r.reason))
-            for r, c in zip(self.rules, self.columns, strict=True)
-            if r.reason is not None
-        ]
-        return F.array_compact(F.array(*texts)) if texts else text_array([])
+    def reasons(self) -> str:
+        parts = zip(self.rules, self.columns, strict=True)
+        texts = [f"CASE WHEN {c} THEN {r.reason} END" for r, c in parts if r.reason is not None]
+        return f"array_compact(array({', '.join(texts)}))"
 
-    def strong(self) -> Column:
-        result = F.lit(False)
-        for r, c in zip(self.rules, self.columns, strict=True):
-            if r.strong:
-                result = result | F.col(c)
-        return result
+    def strong(self) -> str:
+        parts = zip(self.rules, self.columns, strict=True)
+        return " OR ".join(c for r, c in parts if r.strong) or "false"
 
 
-def _lit(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+def _number(points: str | int | float) -> str:
+    return f"{points!r}D" if isinstance(points, float) else f"({points})"
 
 
 def fire(df: DataFrame, rules: Sequence[Rule], prefix: str) -> tuple[DataFrame, Fired]:
@@ -65,5 +53,5 @@ def fire(df: DataFrame, rules: Sequence[Rule], prefix: str) -> tuple[DataFrame,
     condition is repeated in the generated code.
     """
     names = [f"{prefix}{i}" for i in range(len(rules))]
-    flags = {n: F.coalesce(r.when, F.lit(False)) for n, r in zip(names, rules, strict=True)}
-    return df.withColumns(flags), Fired(rules, names)
+    flags = [f"coalesce({r.when}, false) AS {n}" for n, r in zip(names, rules, strict=True)]
+    return df.selectExpr("*", *flags), Fired(rules, names)

@@ -276,7 +276,7 @@ def typosquat_brand(spark, sf):
         "page_id",
         F.col("keyword").alias("brand"),
         "domain_core",
-        F.round(typosquat_score(F.col("keyword"), F.col("domain_core")), 6).alias("typo_score"),
+        F.round(F.expr(typosquat_score("keyword", "domain_core")), 6).alias("typo_score"),
     )
 
 

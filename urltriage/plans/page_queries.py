@@ -182,7 +182,7 @@ def _based(spark, sf):
 def page_text(spark, sf):
     return _ints(
         _dom(spark, sf)
-        .select("page_id", H.title_text(F.col("dom")).alias("title"), H.visible_text(F.col("dom")).alias("text"))
+        .select("page_id", H.title_text("dom").alias("title"), H.visible_text("dom").alias("text"))
         .withColumn("text_len", F.length("text")),
         "text_len",
     )
@@ -198,12 +198,11 @@ def page_text(spark, sf):
     ),
 )
 def page_tag_counts(spark, sf):
-    dom = F.col("dom")
     return _ints(
         _dom(spark, sf).select(
             "page_id",
-            H.tag_count(dom, "img").alias("images_count"),
-            H.tag_count(dom, "button").alias("buttons_count"),
+            F.expr(H.tag_count("dom", "img")).alias("images_count"),
+            F.expr(H.tag_count("dom", "button")).alias("buttons_count"),
         ),
         "images_count",
         "buttons_count",
@@ -234,7 +233,7 @@ def _kw_view(df, key):
     ),
 )
 def page_keyword_counts(spark, sf):
-    texts = _dom(spark, sf).select("page_id", H.visible_text(F.col("dom")).alias("text"))
+    texts = _dom(spark, sf).select("page_id", H.visible_text("dom").alias("text"))
     return _kw_view(texts, "page_id")
 
 
@@ -265,7 +264,7 @@ def document_keyword_counts(spark, sf):
     ),
 )
 def page_snippets(spark, sf):
-    texts = _dom(spark, sf).select("page_id", H.visible_text(F.col("dom")).alias("text"))
+    texts = _dom(spark, sf).select("page_id", H.visible_text("dom").alias("text"))
     found = texts.withColumn("occ", W.occurrences(F.col("text"), P.ALL_KEYWORDS))
     return found.select(
         "page_id", F.array_join(P.text_snippets(F.col("text"), F.col("occ")), " || ").alias("text_snippets")
@@ -285,7 +284,7 @@ def page_snippets(spark, sf):
     ),
 )
 def page_forms(spark, sf):
-    forms = P.judged_forms(P.parsed_forms(F.col("dom")), F.col("base_domain"))
+    forms = P.judged_forms(P.parsed_forms("dom"), F.col("base_domain"))
     out = P.form_aggregates(_based(spark, sf).withColumn("forms", forms))
 
     def show(f):
@@ -315,7 +314,7 @@ def page_forms(spark, sf):
     ),
 )
 def page_links(spark, sf):
-    ratio = P.external_ratio(P.link_hosts(F.col("dom")), F.col("base_domain"))
+    ratio = P.external_ratio(P.link_hosts("dom"), F.col("base_domain"))
     return _based(spark, sf).select("page_id", F.round(ratio, 6).alias("external_links_ratio"))
 
 
@@ -331,9 +330,9 @@ def page_links(spark, sf):
 def page_meta_context(spark, sf):
     out = _dom(spark, sf).select(
         "page_id",
-        H.title_text(F.col("dom")).alias("title"),
-        P.meta_map(F.col("dom")).alias("m"),
-        H.visible_text(F.col("dom")).alias("text"),
+        H.title_text("dom").alias("title"),
+        P.meta_map("dom").alias("m"),
+        H.visible_text("dom").alias("text"),
     )
     entries = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return out.select(
@@ -396,7 +395,7 @@ def page_brand_mentions(spark, sf):
     ),
 )
 def page_logos(spark, sf):
-    logos = P.logo_candidates(P.image_array(F.col("dom")), F.lit("acme"))
+    logos = P.logo_candidates(P.image_array("dom"), F.lit("acme"))
     shown = F.transform(logos, lambda i: F.concat_ws(",", i["src"], i["alt"], i["title"]))
     return _dom(spark, sf).select("page_id", F.array_join(shown, ";").alias("logo_matches"))
 
@@ -426,7 +425,7 @@ def logo_similarity(spark, sf):
         "page_id",
         F.lit("acme").alias("brand"),
         F.col("url").alias("final_url"),
-        P.image_array(F.col("dom")).alias("images"),
+        P.image_array("dom").alias("images"),
     )
     out = P.logo_similarity(shown, _images(pages), b"/logo.png", ["page_id"])
     return out.withColumn("logo_similarity", F.round("logo_similarity", 6))
