@@ -164,7 +164,10 @@ def tls_status(sites: DataFrame, tls_facts: DataFrame, as_of, url_col: str = "ur
     issuer = F.when(F.col("_tls_error").isNotNull(), F.lit("Unknown")).otherwise(
         F.coalesce("issuer_org", F.lit("Unknown"))
     )
-    joined = sites.withColumn("_tls_key", F.when(https, url_host(url))).join(
+    # Other schemes get keys of their own that match nothing: as nulls they
+    # would all meet in one partition.
+    key = F.when(https, url_host(url)).otherwise(F.concat(F.lit("#"), url))
+    joined = sites.withColumn("_tls_key", key).join(
         certs, F.col("_tls_key") == F.col("_host"), "left"
     )
     return joined.withColumns(

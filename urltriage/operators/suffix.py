@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urltriage import config
-from urltriage.schemas import PUBLIC_SUFFIX
+from urltriage.functions.text import sql_text
 
 
-def default_suffixes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(config.DEFAULT_SUFFIXES), PUBLIC_SUFFIX)
+# Rules beyond this count are joined without a broadcast hint.
+BROADCAST_RULES = 200_000
+
 
+def inline_table(spark: SparkSession, rows, columns: str) -> DataFrame:
+    """Small table of text values as part of the plan (its size is then known)."""
+    values = ", ".join("(" + ", ".join(sql_text(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 
-def _default_depth() -> int:
-    return max(s.count(".") + 1 for s, _ in config.DEFAULT_SUFFIXES)
+
+def default_suffixes(spark: SparkSession) -> DataFrame:
+    return inline_table(spark, config.DEFAULT_SUFFIXES, "suffix, rule_type")
 
 
 def with_registrable_domain(
@@ -26,15 +32,19 @@ def with_registrable_domain(
     """Add suffix, domain_core, subdomain and base_domain.
 
     The rules are looked up once per possible suffix length, as equi-joins on
-    the tail of the host.  The rule table is small in practice, so Spark picks
-    broadcast joins by its measured size and the (large) left side is never
-    shuffled; a rule table beyond the broadcast threshold still works.
+    the tail of the host.  The rule table is counted first: up to
+    ``BROADCAST_RULES`` it is broadcast, so the (large) left side is never
+    shuffled by keys as hot as ``com``; beyond that Spark joins by shuffle,
+    where adaptive execution splits the hot tails.
     """
     if suffixes is None:
-        suffixes, max_labels = default_suffixes(df.sparkSession), _default_depth()
-    if max_labels is None:
+        suffixes = default_suffixes(df.sparkSession)
+        n_rules = len(config.DEFAULT_SUFFIXES)
+        max_labels = max(s.count(".") + 1 for s, _ in config.DEFAULT_SUFFIXES)
+    else:
         deepest = F.max(F.size(F.split(F.regexp_replace("suffix", r"^[*!][.]?", ""), "[.]")))
-        max_labels = suffixes.agg(deepest).first()[0] or 1
+        n_rules, measured = suffixes.agg(F.count("*"), deepest).first()
+        max_labels = max_labels or measured or 1
 
     rules = (
         suffixes.select(
@@ -59,6 +69,8 @@ def with_registrable_domain(
             F.col("_wild").alias(f"_w{i}"),
             F.col("_exc").alias(f"_x{i}"),
         )
+        if n_rules <= BROADCAST_RULES:
+            side = F.broadcast(side)
         out = out.join(side, tail == F.col(f"_k{i}"), "left")
         exact_lengths.append(F.when(F.col(f"_e{i}"), F.lit(i)))
         exact_lengths.append(F.when(F.col(f"_w{i}") & (F.col("_n") > i), F.lit(i + 1)))

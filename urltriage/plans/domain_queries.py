@@ -13,7 +13,7 @@ from urltriage.operators import facts as D
 from urltriage.operators import results as K
 from urltriage.operators.domain_risk import score_domain
 from urltriage.operators.mentions import similar_pairs
-from urltriage.operators.suffix import with_registrable_domain
+from urltriage.operators.suffix import inline_table, with_registrable_domain
 from urltriage.plans import fixtures as fx
 from urltriage.plans.domain_triage import attach_facts, locate, triage_domains, with_keyword_order
 from urltriage.plans.registry import query, sql_list, with_tables
@@ -295,7 +295,7 @@ def typosquat_brand(spark, sf):
 )
 def typosquat_known(spark, sf):
     sites = locate(fx.derive(spark, sf, "fx_sites"), fx.suffixes(spark))
-    known = spark.createDataFrame([(d,) for d in C.KNOWN_DOMAINS], "known string")
+    known = inline_table(spark, [(d,) for d in C.KNOWN_DOMAINS], "known")
     pairs = similar_pairs(
         sites.select("base_domain"),
         known,

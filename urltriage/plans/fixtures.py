@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urltriage.functions.text import as_timestamp, clean_list
+from urltriage.operators.suffix import inline_table
 from urltriage.sources.readers import spread
 
 AS_OF = "2025-01-01 00:00:00"
@@ -170,15 +171,16 @@ def derive(spark: SparkSession, sf_dir: str, name: str, pages: DataFrame | None
 
 
 def suffixes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, "exact") for s in SUFFIXES], "suffix string, rule_type string")
+    return inline_table(spark, [(s, "exact") for s in SUFFIXES], "suffix, rule_type")
 
 
 def brands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(b,) for b in BRANDS], "brand string")
+    return inline_table(spark, [(b,) for b in BRANDS], "brand")
 
 
 def keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KEYWORDS), "keyword string, seq int")
+    listed = inline_table(spark, [(k, str(i)) for k, i in KEYWORDS], "keyword, seq")
+    return listed.withColumn("seq", F.col("seq").cast("int"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from urltriage.operators import facts as D
 from urltriage.operators import page_features as P
 from urltriage.operators.mentions import brand_mentions
 from urltriage.operators.page_risk import score_page
-from urltriage.operators.suffix import with_registrable_domain
+from urltriage.operators.suffix import inline_table, with_registrable_domain
 from urltriage.plans import fixtures as fx
 from urltriage.plans import page_triage as T
 from urltriage.plans.domain_queries import O_TLS, _ints, located
@@ -380,7 +380,7 @@ _MENTION_ROWS = ", ".join(f"('{b}', '{mark(b)}')" for b in MENTION_BRANDS)
     ),
 )
 def page_brand_mentions(spark, sf):
-    names = spark.createDataFrame([(b,) for b in MENTION_BRANDS], "brand string")
+    names = inline_table(spark, [(b,) for b in MENTION_BRANDS], "brand")
     out = brand_mentions(fx.scan(spark, sf, "documents"), names, "doc_id", "text")
     return out.withColumn("fuzzy_matches", F.array_join(F.array_sort("fuzzy_matches"), ","))
 

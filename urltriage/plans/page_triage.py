@@ -81,9 +81,14 @@ def analyze_pages(
 
 
 def rank_pages(scored: DataFrame, min_score_filter: float = MIN_SCORE) -> DataFrame:
-    """Pages of at least the given score, highest first; error rows stay."""
+    """Pages of at least the given score, highest first; error rows stay.
+
+    A global sort samples its input before it sorts.  The repartition in front
+    lets both passes read the small scored rows from the shuffle; without it
+    every page would be parsed twice.
+    """
     kept = (F.col("score") >= min_score_filter) | F.coalesce(F.col("category") == "error", F.lit(False))
-    return scored.filter(kept).orderBy(F.desc("score"), "url", "brand")
+    return scored.filter(kept).repartition("url").orderBy(F.desc("score"), "url", "brand")
 
 
 def triage_pages(
