@@ -18,6 +18,8 @@ from urltriage.session import shared_folder
 _RARE_FIRST = "zqjxkvbpygfwmucldrhsnioate"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000
+# A value has some hundred keys, so this many stay within a broadcast.
+BROADCAST_VALUES = 10_000
 
 
 def _need(own: Column, other: Column, min_jw: float, min_lev: float | None) -> Column:
@@ -78,10 +80,17 @@ def _keyed(
     return sized.select(name, own, other, F.explode(keys).alias("_k"))
 
 
-def _lengths(values: DataFrame, name: str) -> list[int]:
-    """Distinct string lengths: a handful of numbers whatever the row count."""
-    rows = values.select(F.length(name).alias("n")).distinct().collect()
-    return sorted(r["n"] for r in rows)
+def _lengths(values: DataFrame, name: str) -> dict[int, int]:
+    """Rows per string length: a handful of numbers whatever the row count."""
+    rows = values.groupBy(F.length(name).alias("n")).count().collect()
+    return {r["n"]: r["count"] for r in rows}
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
 
 
 def similar_pairs(
@@ -94,8 +103,10 @@ def similar_pairs(
     """Pairs with Jaro-Winkler > ``min_jw`` or Levenshtein similarity > ``min_lev``.
 
     Uses the first column of each side, on distinct values; the right side is
-    the shorter list (its lengths are read first).  It is an exact equi-join on character signatures (no cross join, no cap), followed by a
-    cheap bound and then the distances.  Returns both values, ``jw``, ``lev``.
+    the shorter list (its lengths and size are read first).  It is an exact
+    equi-join on character signatures (no cross join, no cap), followed by a
+    cheap bound and then the distances.  A short right side is broadcast; else
+    Spark joins by shuffle.  Returns both values, ``jw``, ``lev``.
     """
     lname, rname = left.columns[0], right.columns[0]
 
@@ -104,31 +115,34 @@ def similar_pairs(
 
     bounds = (min_jw, min_lev, max_len_diff)
     lefts, rights = distinct_values(left, lname), distinct_values(right, rname)
-    right_lengths = _lengths(rights, rname)
-    if not right_lengths:
-        right_lengths = [0]
+    by_length = _lengths(rights, rname)
+    right_lengths = sorted(by_length) or [0]
     shrink = 3.0 * required_jaro(min_jw) - 2.0
     shrink = shrink if min_lev is None else min(shrink, min_lev)
     # Lengths that can meet any right value at all.
     low, high = int(right_lengths[0] * shrink), int(right_lengths[-1] / shrink) + 1
-    lefts = lefts.filter(F.length(lname).between(low, high))
+    # Making keys is heavy per row and the values are few bytes, so adaptive
+    # execution would merge them into too few tasks.
+    lefts = lefts.filter(F.length(lname).between(low, high)).repartition(_tasks(left))
     left_lengths = list(range(max(low, 1), high + 1))
     keyed_left = _keyed(lefts, lname, "_ll", "_lr", right_lengths, *bounds)
     keyed_right = _keyed(rights, rname, "_lr", "_ll", left_lengths, *bounds)
+    if sum(by_length.values()) <= BROADCAST_VALUES:
+        keyed_right = F.broadcast(keyed_right)
     pairs = keyed_left.join(keyed_right, ["_ll", "_lr", "_k"])
     a, b = f"`{lname}`", f"`{rname}`"
     plausible = may_reach_jaro_winkler(a, b, min_jw)
     if min_lev is not None:
         plausible = f"{plausible} OR {levenshtein_similarity(a, b)} > {min_lev}D"
-    # A pair can meet under several keys.
-    candidates = pairs.filter(plausible).select(lname, rname).distinct()
-    scored = candidates.selectExpr(
+    # Scored where the pair is found, in parallel; a pair can meet under several
+    # keys, so the few that qualify are made distinct at the end.
+    scored = pairs.filter(plausible).selectExpr(
         a, b, f"{jaro_winkler(a, b)} AS jw", f"{levenshtein_similarity(a, b)} AS lev"
     )
     wanted = F.col("jw") > min_jw
     if min_lev is not None:
         wanted = wanted | (F.col("lev") > min_lev)
-    return scored.filter(wanted)
+    return scored.filter(wanted).distinct()
 
 
 def _brand_forms(brands: DataFrame) -> DataFrame:

@@ -501,12 +501,12 @@ def tls_facts(spark, sf):
             ),
         ],
         """select a.domain as base_domain,
-        coalesce(string_agg(rtrim(u.value, '.'), ',' order by u.value) filter (u.rrtype = 'MX'), '') as mx_records,
-        count(*) filter (u.rrtype = 'MX') as mx_count,
-        coalesce(string_agg(u.value, ',' order by u.value) filter (u.rrtype = 'A'), '') as ip,
+        coalesce(string_agg(distinct rtrim(u.value, '.'), ',' order by rtrim(u.value, '.')) filter (u.rrtype = 'MX'), '') as mx_records,
+        count(distinct u.value) filter (u.rrtype = 'MX') as mx_count,
+        coalesce(string_agg(distinct u.value, ',' order by u.value) filter (u.rrtype = 'A'), '') as ip,
         min(u.ttl) filter (u.rrtype = 'A') as ttl,
-        coalesce(string_agg(rtrim(u.value, '.'), ',' order by u.value) filter (u.rrtype = 'NS'), '') as ns_records,
-        count(*) filter (u.rrtype = 'NS') as ns_count
+        coalesce(string_agg(distinct rtrim(u.value, '.'), ',' order by rtrim(u.value, '.')) filter (u.rrtype = 'NS'), '') as ns_records,
+        count(distinct u.value) filter (u.rrtype = 'NS') as ns_count
         from (select distinct domain from fx_dns) a left join used u on a.domain = u.domain group by a.domain""",
     ),
 )

@@ -101,21 +101,18 @@ from (select concat(case when page_id % 7 = 3 then 'secure-login.a.' else '' end
    from {pages} p join {fx_sites} s on p.page_id = s.page_id where p.url like 'https://%') q
   group by 1) t where n % 10 <> 9""",
     "fx_dns": """
-select domain, rrtype, resolver_rank, value, ttl, status from (
- select d.base_domain_expected as domain, r.rrtype, r.resolver_rank,
-  case r.rrtype when 'MX' then concat('mx', cast(r.i as string), '.r', cast(r.resolver_rank as string), '.', d.base_domain_expected, '.')
-   when 'A' then concat('10.0.', cast(r.i as string), '.', cast(n % 250 as string))
-   else concat('ns', cast(r.i as string), '.host.example.') end as value,
-  100 + 50 * (n % 9) as ttl,
-  case when r.rrtype = 'MX' and r.resolver_rank = 1 and n % 3 = 0 then 'nxdomain'
-   when r.rrtype = 'MX' and r.resolver_rank = 2 and n % 2 = 1 then 'timeout' else 'ok' end as status,
-  case r.rrtype when 'MX' then 1 + n % 3 when 'A' then n % 8 else n % 4 end as wanted, r.i as i
- from (select base_domain_expected, min(page_id) as n from {fx_sites} group by base_domain_expected) d
- cross join (select t.rrtype, t.resolver_rank, k.i from
-   (select 'MX' as rrtype, 1 as resolver_rank union all select 'MX', 2 union all select 'A', 1 union all select 'NS', 1) t
-   cross join (select 0 as i union all select 1 union all select 2 union all select 3 union all select 4
-     union all select 5 union all select 6) k) r) x
-where i < wanted""",
+select base_domain_expected as domain, 'MX' as rrtype, 1 as resolver_rank,
+ concat('mx', cast(page_id % 3 as string), '.r1.', base_domain_expected, '.') as value,
+ 100 + 50 * (page_id % 9) as ttl, case when page_id % 3 = 0 then 'nxdomain' else 'ok' end as status from {fx_sites}
+union all
+select base_domain_expected, 'MX', 2, concat('mx', cast(page_id % 5 as string), '.r2.', base_domain_expected, '.'),
+ 100 + 50 * (page_id % 9), case when page_id % 2 = 1 then 'timeout' else 'ok' end from {fx_sites}
+union all
+select base_domain_expected, 'A', 1, concat('10.0.', cast(page_id % 7 as string), '.', cast(page_id % 250 as string)),
+ 100 + 50 * (page_id % 9), 'ok' from {fx_sites} where page_id % 8 <> 0
+union all
+select base_domain_expected, 'NS', 1, concat('ns', cast(page_id % 4 as string), '.host.example.'),
+ 100 + 50 * (page_id % 9), 'ok' from {fx_sites} where page_id % 4 <> 0""",
     "fx_serp_pages": """
 select brand, concat(brand, ' query ', cast(query_seq as string)) as query, query_seq,
  concat('<html><body>', a0, a1, a2, a3, '<a class="other" href="https://skip.example/">x</a></body></html>') as html
