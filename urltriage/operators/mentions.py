@@ -119,12 +119,16 @@ def similar_pairs(
     right_lengths = sorted(by_length) or [0]
     shrink = 3.0 * required_jaro(min_jw) - 2.0
     shrink = shrink if min_lev is None else min(shrink, min_lev)
-    # Lengths that can meet any right value at all.
-    low, high = int(right_lengths[0] * shrink), int(right_lengths[-1] / shrink) + 1
+    if shrink > 0:
+        # Lengths that can meet any right value at all.
+        low, high = int(right_lengths[0] * shrink), int(right_lengths[-1] / shrink) + 1
+        lefts = lefts.filter(F.length(lname).between(low, high))
+        left_lengths = list(range(max(low, 1), high + 1))
+    else:
+        left_lengths = sorted(_lengths(lefts, lname)) or [0]
     # Making keys is heavy per row and the values are few bytes, so adaptive
     # execution would merge them into too few tasks.
-    lefts = lefts.filter(F.length(lname).between(low, high)).repartition(_tasks(left))
-    left_lengths = list(range(max(low, 1), high + 1))
+    lefts = lefts.repartition(_tasks(left))
     keyed_left = _keyed(lefts, lname, "_ll", "_lr", right_lengths, *bounds)
     keyed_right = _keyed(rights, rname, "_lr", "_ll", left_lengths, *bounds)
     if sum(by_length.values()) <= BROADCAST_VALUES:

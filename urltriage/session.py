@@ -15,6 +15,8 @@ RECOMMENDED = {
     # Splits the partition of a hot host, domain or image in every join below.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # First-n-per-key keeps only n rows per key and task before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # The JVM never compiles a method above this size; such a stage runs faster
     # as separate operators whose code is split into small methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
