@@ -56,11 +56,12 @@ def _keyed(
     sized = (
         values.withColumns({own: F.length(name), "_c": F.array_sort(F.split(renamed, ""))})
         .withColumn(
-            # Repeated characters are told apart by their occurrence number.
+            # Repeated characters are told apart by their occurrence number.  A
+            # hash clash would only add a candidate, and candidates are verified.
             "_t",
             F.transform(
                 "_c",
-                lambda ch, i: F.concat(ch, (i - F.array_position("_c", ch)).cast("string")),
+                lambda ch, i: F.xxhash64(ch, i - F.array_position("_c", ch)),
             ),
         )
         .withColumn(other, F.explode(F.array(*[F.lit(n) for n in partner_lengths])))
@@ -72,7 +73,7 @@ def _keyed(
         F.transform(
             "_p",
             lambda x, i: F.transform(
-                F.slice("_p", i + 2, F.size("_p")), lambda y: F.concat(x, F.lit("|"), y)
+                F.slice("_p", i + 2, F.size("_p")), lambda y: F.shiftleft(x, 1).bitwiseXOR(y)
             ),
         )
     )
