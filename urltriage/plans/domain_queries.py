@@ -15,7 +15,7 @@ from urltriage.operators.domain_risk import score_domain
 from urltriage.operators.mentions import similar_pairs
 from urltriage.operators.suffix import inline_table, with_registrable_domain
 from urltriage.plans import fixtures as fx
-from urltriage.plans.domain_triage import attach_facts, locate, triage_domains, with_keyword_order
+from urltriage.plans.domain_triage import locate, triage_domains, with_keyword_order
 from urltriage.plans.registry import query, sql_list, with_tables
 from urltriage.schemas import SERP_ITEMS
 from urltriage.session import shared_folder
