@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import compare
+from urltriage.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLES = catalog.ORACLES
+QUERIES = catalog.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -37,5 +38,10 @@ def test_html_is_not_read_where_it_is_not_needed(spark):
     assert "html:string" not in plan
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
