@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from urltriage.llm.common import table
 from urltriage.llm.exact_dedup import exact_dedup
+from urltriage.llm.packing import pack
+from urltriage.llm.pii import find_pii
 from urltriage.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +46,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies by SimHash and segment popcounts."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into windows of 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data found by strict patterns and boosted candidates."""
+    return find_pii(table(spark, sf_dir, "documents")).drop("text_sha256")
