@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from urltriage.llm.common import stored, table
 from urltriage.llm.exact_dedup import drop_exact_copies
+from urltriage.llm.packing import pack
+from urltriage.llm.pii import redact
+from urltriage.llm.quality import drop_low_quality
 from urltriage.llm.simhash import drop_near_copies
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of identical texts."""
     return drop_exact_copies(docs)
@@ -19,7 +29,23 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs)
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near)]
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced; ``n_chars`` follows the text."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows."""
+    return pack(docs, tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("pii", private),
+    ("packing", packed),
+]
 
 #: The classifier, the fingerprints and the packing can't be written in SQL.
 ORACLE_SQL = None

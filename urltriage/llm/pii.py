@@ -347,8 +347,9 @@ def fit(candidates: DataFrame, config: Boosting = Boosting()) -> tuple[list, dic
 def select(candidates: DataFrame, trees: list, thresholds: dict[int, float]) -> DataFrame:
     """Spans: all valid strict matches, and other candidates above their threshold.
 
-    Added spans that overlap a valid strict match are left out. Columns: ``rid``,
-    ``generator``, ``start``, ``stop``, ``strict``.
+    Strict matches that fail their validator are known to be none. Added spans that
+    overlap a valid strict match are left out. Columns: ``rid``, ``generator``,
+    ``start``, ``stop``, ``strict``.
     """
     score = F.lit(0.0)
     for tree in trees:
@@ -356,7 +357,8 @@ def select(candidates: DataFrame, trees: list, thresholds: dict[int, float]) ->
     needed = F.lit(math.inf)
     for k, t in thresholds.items():
         needed = F.when(F.col("generator") == k, F.lit(t - ROUNDING)).otherwise(needed)
-    chosen = F.col("valid") | (~F.col("covered") & (score >= needed))
+    loose = F.col("generator") >= len(STRICT)
+    chosen = F.col("valid") | (loose & ~F.col("covered") & (score >= needed))
     return candidates.where(chosen).select("rid", "generator", "start", "stop", F.col("valid").alias("strict"))
 
 

@@ -11,6 +11,7 @@ from urltriage.llm.common import table
 from urltriage.llm.exact_dedup import exact_dedup
 from urltriage.llm.packing import pack
 from urltriage.llm.pii import find_pii
+from urltriage.llm.quality import score_quality
 from urltriage.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data found by strict patterns and boosted candidates."""
     return find_pii(table(spark, sf_dir, "documents")).drop("text_sha256")
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents within their source and language."""
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.drop("text_sha256")
