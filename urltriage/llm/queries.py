@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from urltriage.llm.bpe import encode_digests
 from urltriage.llm.common import table
 from urltriage.llm.exact_dedup import exact_dedup
 from urltriage.llm.packing import pack
@@ -66,3 +67,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of documents within their source and language."""
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.drop("text_sha256")
+
+
+@query("op1_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded and decoded with a byte-level vocabulary."""
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
