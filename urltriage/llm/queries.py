@@ -14,6 +14,7 @@ from urltriage.llm.packing import pack
 from urltriage.llm.pii import find_pii
 from urltriage.llm.quality import score_quality
 from urltriage.llm.simhash import near_duplicates
+from urltriage.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded with a byte-level vocabulary."""
     return encode_digests(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op10_topk",
+    """with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x
+    from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score
+    from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.x) = len(c.x)
+), r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five highest inner products of each query vector."""
+    return top_k(table(spark, sf_dir, "embeddings"))
