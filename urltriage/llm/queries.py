@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from urltriage.llm.bpe import encode_digests
 from urltriage.llm.common import table
 from urltriage.llm.exact_dedup import exact_dedup
+from urltriage.llm.language import identify
 from urltriage.llm.packing import pack
 from urltriage.llm.pii import find_pii
 from urltriage.llm.quality import score_quality
@@ -94,3 +95,9 @@ select query_id, rank, vec_id, score from r where rank <= 5""",
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five highest inner products of each query vector."""
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents by nearest centroids."""
+    return identify(table(spark, sf_dir, "documents"))
