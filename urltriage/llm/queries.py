@@ -15,6 +15,7 @@ from urltriage.llm.packing import pack
 from urltriage.llm.pii import find_pii
 from urltriage.llm.quality import score_quality
 from urltriage.llm.simhash import near_duplicates
+from urltriage.llm.substring_dedup import repeated_passages
 from urltriage.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of documents by nearest centroids."""
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
