@@ -11,6 +11,7 @@ from urltriage.llm.bpe import encode_digests
 from urltriage.llm.common import table
 from urltriage.llm.exact_dedup import exact_dedup
 from urltriage.llm.language import identify
+from urltriage.llm.lengths import token_counts
 from urltriage.llm.packing import pack
 from urltriage.llm.pii import find_pii
 from urltriage.llm.quality import score_quality
@@ -108,3 +109,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents."""
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths with totals for every limit."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
