@@ -33,6 +33,21 @@ def test_no_nested_loops(spark, name):
     assert "NestedLoopJoin" not in plan
 
 
+def test_page_source_is_never_shuffled(spark):
+    """Also where nothing can be broadcast, the HTML stays below the first exchange."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        plan = QUERIES["brand_page_triage"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and not any("html" in line for line in shuffled)
+
+
 def test_html_is_not_read_where_it_is_not_needed(spark):
     plan = QUERIES["domain_triage"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "html:string" not in plan

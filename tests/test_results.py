@@ -96,13 +96,53 @@ def test_csv_keeps_quotes_lines_and_blanks(spark, tmp_path):
 def test_history_replaces_a_repeated_run(spark, tmp_path):
     path = str(tmp_path / "h")
     df = spark.createDataFrame(
-        [("u", "b", 0.5, "suspect", ["r"], datetime(2025, 1, 1), 1.0, "{}")],
-        "url string, base_domain string, score double, category string, reasons array<string>, "
+        [("u", None, "b", 0.5, "suspect", ["r"], datetime(2025, 1, 1), 1.0, "{}")],
+        "url string, brand string, base_domain string, score double, category string, reasons array<string>, "
         "analyzed_at timestamp, analysis_time_s double, content_analysis string",
     )
-    writers.append_analysis(df, path, AS_OF)
-    writers.append_analysis(df, path, AS_OF)
+    writers.append_analysis(df, path, "a")
+    writers.append_analysis(df, path, "a")
     assert writers.read_history(spark, path).count() == 1
+    # Another run at the same instant, for other brands of the same page.
+    both = df.withColumn("brand", F.lit("acme")).union(df.withColumn("brand", F.lit("paypal")))
+    writers.append_analysis(both, path, "b")
+    assert writers.read_history(spark, path).count() == 3
+    with pytest.raises(ValueError, match="run id"):
+        writers.append_analysis(df, path, "a/b")
+
+
+def test_verdicts_keep_facts(spark):
+    facts = spark.createDataFrame([("a.com", "R", 2), ("b.com", "S", 1)], "base_domain string, registrar string, mx_count int")
+    verdicts = spark.createDataFrame([("a.com", 70), ("c.com", 5), ("", 1)], "base_domain string, score int")
+    got = {tuple(r) for r in D.update_facts(facts, verdicts).collect()}
+    assert got == {("a.com", "R", 2, 70), ("b.com", "S", 1, None), ("c.com", None, None, 5)}
+    again = D.update_facts(D.update_facts(facts, verdicts), spark.createDataFrame([("a.com", 9)], "base_domain string, score int"))
+    assert again.filter("base_domain = 'a.com'").first()["score"] == 9
+
+
+def test_unlisted_keywords_come_last(spark):
+    hits = spark.createDataFrame(
+        [("new", 1, "https://x.com/", "t", "s"), ("old", 5, "https://x.com/", "t", "s")],
+        "keyword string, rank int, original_url string, title string, snippet string",
+    )
+    keywords = spark.createDataFrame([("old", 0)], "keyword string, seq int")
+    facts = fx.facts(spark, SF).limit(0)
+    assert [r["keyword"] for r in triage_domains(hits, facts, AS_OF, keywords=keywords).collect()] == ["old"]
+
+
+def test_dns_of_a_domain_with_many_answers(spark):
+    many = spark.range(30_000).selectExpr(
+        "'Hot.com' as domain", "'A' as rrtype", "cast(1 + id % 3 as int) as resolver_rank",
+        "concat('10.0.0.', id % 4, '.') as value", "cast(id % 7 as int) as ttl", "if(id % 3 = 0, 'timeout', 'ok') as status",
+    )
+    none = spark.createDataFrame(
+        [("none.com", "MX", 1, "m", 1, "timeout")],
+        "domain string, rrtype string, resolver_rank int, value string, ttl int, status string",
+    )
+    got = {r["base_domain"]: r for r in D.rollup_dns(many.union(none)).collect()}
+    hot, empty = got["hot.com"], got["none.com"]
+    assert (hot["ip"], hot["ttl"]) == ([f"10.0.0.{i}" for i in range(4)], 0)
+    assert (empty["mx_records"], empty["mx_count"], empty["ip"], empty["ttl"]) == ([], 0, [], None)
 
 
 def test_readers(spark, tmp_path, hits):
@@ -110,6 +150,9 @@ def test_readers(spark, tmp_path, hits):
     assert rows(readers.read_serp(spark, str(tmp_path / "serp"))) == rows(hits)
     (tmp_path / "img").mkdir()
     (tmp_path / "img" / "a.png").write_bytes(b"abc")
+    manifest = spark.createDataFrame([("https://x.com/a.png", "a.png")], "src string, path string")
+    named = readers.read_images(spark, str(tmp_path / "img"), manifest).first()
+    assert (named["src"], bytes(named["content"])) == ("https://x.com/a.png", b"abc")
     image = readers.read_images(spark, str(tmp_path / "img")).first()
     assert image["src"].endswith("a.png") and bytes(image["content"]) == b"abc"
     pages = spark.createDataFrame(
@@ -170,16 +213,17 @@ def test_hot_domain_join_is_split(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_hot_brand_keeps_only_leading_candidates_before_the_shuffle(spark):
+@pytest.mark.parametrize("limit", [10, 5000, None])
+def test_hot_brand_is_dealt_out_by_query(spark, limit):
     links = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("acme")).otherwise(F.lit("other")).alias("brand"),
-        F.lit(0).alias("query_seq"), F.col("id").cast("int").alias("pos"),
+        (F.col("id") / 2000).cast("int").alias("query_seq"), F.col("id").cast("int").alias("pos"),
         F.concat(F.lit("https://h"), F.col("id").cast("string"), F.lit(".com/")).alias("url"),
     )
-    top = S.first_candidates(S.filter_candidates(links), 10)
-    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    top = S.first_candidates(S.filter_candidates(links), limit)
     got = top.filter("brand = 'acme'").orderBy("position").collect()
-    assert [r["url"] for r in got] == [f"https://h{3 * i}.com/" for i in range(10)]
+    assert [r["url"] for r in got] == [f"https://h{3 * i}.com/" for i in range(6667)][:limit]
+    assert [r["position"] for r in got] == list(range(1, len(got) + 1))
 
 
 def test_stream_equals_batch_and_survives_a_restart(spark, hits, results, tmp_path):
@@ -204,3 +248,6 @@ def test_stream_equals_batch_and_survives_a_restart(spark, hits, results, tmp_pa
     assert rows(got.select(*results.columns)) == rows(results)
     report = spark.read.options(header=True, escape='"').csv(str(tmp_path / "report"))
     assert report.count() == K.suspicious(results).count()
+    # Another checkpoint is another stream: it adds nothing and replaces nothing.
+    triage_stream(spark, incoming, out, str(tmp_path / "state2"), facts, AS_OF, **options(spark)).awaitTermination()
+    assert rows(results_so_far(spark, out).select(*results.columns)) == rows(results)

@@ -51,28 +51,33 @@ def result_links(html: str) -> Column:
     return F.transform(hrefs, target)
 
 
-def extract_result_links(serp_pages: DataFrame, per_query: int = PER_QUERY) -> DataFrame:
-    """Add ``links``: at most the first ``per_query`` targets of each page."""
-    links = F.slice(result_links("coalesce(html, '')"), 1, per_query)
+def extract_result_links(serp_pages: DataFrame, per_query: int | None = PER_QUERY) -> DataFrame:
+    """Add ``links``: at most the first ``per_query`` targets of each page (None: all)."""
+    links = result_links("coalesce(html, '')")
+    if per_query is not None:
+        links = F.slice(links, 1, per_query)
     return serp_pages.withColumn("links", links).drop("html")
 
 
-def cap_by_query(linked: DataFrame, max_results: int = MAX_RESULTS) -> DataFrame:
-    """Queries of each brand up to the one that reaches ``max_results`` links.
-
-    The running total is taken over one small row per query, not over links.
-    """
-    counts = linked.groupBy("brand", "query_seq").agg(F.sum(F.size("links")).alias("_n"))
+def _links_before(counts: DataFrame) -> DataFrame:
+    """``_before``: links of earlier queries of the brand, from one small row per query."""
     earlier = (
         Window.partitionBy("brand")
         .orderBy("query_seq")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    wanted = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .filter(F.col("_before") < max_results)
-        .select("brand", "query_seq")
-    )
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+
+def cap_by_query(linked: DataFrame, max_results: int | None = MAX_RESULTS) -> DataFrame:
+    """Queries of each brand up to the one that reaches ``max_results`` links (None: all).
+
+    The running total is taken over one small row per query, not over links.
+    """
+    if max_results is None:
+        return linked
+    counts = linked.groupBy("brand", "query_seq").agg(F.sum(F.size("links")).alias("_n"))
+    wanted = _links_before(counts).filter(F.col("_before") < max_results).select("brand", "query_seq")
     return linked.join(wanted, ["brand", "query_seq"], "left_semi")
 
 
@@ -93,23 +98,29 @@ def filter_candidates(links: DataFrame, allow_news: bool = False) -> DataFrame:
     return first_per_key(kept, ["brand", "url"], ["query_seq", "pos"])
 
 
-def first_candidates(candidates: DataFrame, max_results: int = MAX_RESULTS) -> DataFrame:
-    """First ``max_results`` candidates per brand, in search order.
+def first_candidates(candidates: DataFrame, max_results: int | None = MAX_RESULTS) -> DataFrame:
+    """First ``max_results`` candidates per brand, in search order (None: all).
 
-    Spark keeps only the leading rows of each brand before the shuffle.
+    A position is the number of candidates of earlier queries plus the rank within
+    the query, so no task ever holds all candidates of a brand.
     """
-    order = Window.partitionBy("brand").orderBy("query_seq", "pos", "url")
-    return (
-        candidates.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= max_results)
-        .select("brand", "url", "position")
+    counts = candidates.groupBy("brand", "query_seq").agg(F.count(F.lit(1)).alias("_n"))
+    before = _links_before(counts).drop("_n")
+    if max_results is not None:
+        before = before.filter(F.col("_before") < max_results)
+    order = Window.partitionBy("brand", "query_seq").orderBy("pos", "url")
+    placed = candidates.join(before, ["brand", "query_seq"]).withColumn(
+        "position", (F.row_number().over(order) + F.col("_before")).cast("int")
     )
+    if max_results is not None:
+        placed = placed.filter(F.col("position") <= max_results)
+    return placed.select("brand", "url", "position")
 
 
 def search_candidates(
     serp_pages: DataFrame,
-    max_results: int = MAX_RESULTS,
-    per_query: int = PER_QUERY,
+    max_results: int | None = MAX_RESULTS,
+    per_query: int | None = PER_QUERY,
     allow_news: bool = False,
 ) -> DataFrame:
     linked = cap_by_query(extract_result_links(serp_pages, per_query), max_results)

@@ -112,6 +112,26 @@ def upsert_facts(old: DataFrame, new: DataFrame, as_of) -> DataFrame:
     return latest_per_key(keyed, "base_domain", ["_new", "last_updated"]).drop("_new")
 
 
+def update_facts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Merge by base_domain; a new row replaces only the columns that it has.
+
+    For verdicts, which leave the looked-up facts and their age as they are.
+    Domains without an old row are added; ``new`` has each domain once.
+    """
+    marked = new.filter(F.coalesce("base_domain", F.lit("")) != "").withColumn("_new", F.lit(True))
+    changed = [c for c in new.columns if c != "base_domain"]
+    joined = old.alias("o").join(marked.alias("n"), "base_domain", "full_outer")
+
+    def merged(name: str) -> Column:
+        mine = F.col(f"o.{name}") if name in old.columns else F.lit(None)
+        if name not in changed:
+            return mine.alias(name)
+        return F.when(F.col("_new"), F.col(f"n.{name}")).otherwise(mine).alias(name)
+
+    names = [c for c in old.columns if c != "base_domain"]
+    return joined.select("base_domain", *map(merged, names + [c for c in changed if c not in names]))
+
+
 def extract_whois(whois_raw: DataFrame, as_of) -> DataFrame:
     """Creation date, age, warning flag and referral server from WHOIS text."""
     text = F.coalesce("response_text", F.lit(""))
@@ -172,7 +192,8 @@ def tls_status(sites: DataFrame, tls_facts: DataFrame, as_of, url_col: str = "ur
     )
     return joined.withColumns(
         {
-            "ssl_valid": https & valid,
+            # Without a host there is nothing to connect to.
+            "ssl_valid": https & (F.coalesce(url_host(url), F.lit("")) != "") & valid,
             "ssl_issuer": F.when(https, issuer),
             "ssl_age_days": F.when(https & dated, whole_days(at, F.col("not_before"))),
         }
@@ -182,34 +203,36 @@ def tls_status(sites: DataFrame, tls_facts: DataFrame, as_of, url_col: str = "ur
 def rollup_dns(dns_answers: DataFrame) -> DataFrame:
     """One row per domain: records of the first resolver that answered, by type.
 
-    A record set has no duplicates, so collect_set is exact; it also keeps the
-    partial state of a domain with very many repeated answers small.
+    Answers are reduced by type and resolver before they meet, so a domain never
+    holds the answers of all its resolvers at once, nor repeated ones.
     """
-    answer = F.struct(
-        "rrtype", "resolver_rank", F.regexp_replace("value", r"[.]+$", "").alias("value"), "ttl"
-    )
     ok = F.col("status") == "ok"
-    grouped = dns_answers.groupBy(F.lower("domain").alias("base_domain")).agg(
-        F.collect_set(F.when(ok, answer)).alias("_a")
+    value = F.regexp_replace("value", r"[.]+$", "")
+    by_resolver = (
+        dns_answers.select(
+            F.lower("domain").alias("base_domain"),
+            "rrtype",
+            F.when(ok, F.col("resolver_rank")).alias("rank"),
+            F.when(ok, value).alias("value"),
+            F.when(ok, F.col("ttl")).alias("ttl"),
+        )
+        .groupBy("base_domain", "rrtype", "rank")
+        .agg(F.array_sort(F.collect_set("value")).alias("values"), F.min("ttl").alias("ttl"))
+    )
+    first = by_resolver.groupBy("base_domain", "rrtype").agg(
+        F.min_by(F.struct("values", "ttl"), "rank").alias("first")
     )
 
     def of_type(kind: str) -> Column:
-        mine = F.filter("_a", lambda a: a["rrtype"] == kind)
-        first = F.array_min(F.transform(mine, lambda a: a["resolver_rank"]))
-        return F.filter(mine, lambda a: a["resolver_rank"] == first)
+        return F.max(F.when(F.col("rrtype") == kind, F.col("first"))).alias(kind)
 
     def values(kind: str) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(of_type(kind), lambda a: a["value"])))
+        return F.coalesce(F.col(f"{kind}.values"), F.array().cast(_EMPTY))
 
     return (
-        grouped.withColumns(
-            {
-                "mx_records": values("MX"),
-                "ip": values("A"),
-                "ttl": F.array_min(F.transform(of_type("A"), lambda a: a["ttl"])),
-                "ns_records": values("NS"),
-            }
-        )
+        first.groupBy("base_domain")
+        .agg(*map(of_type, ("MX", "A", "NS")))
+        .select("base_domain", values("MX").alias("mx_records"), values("A").alias("ip"), F.col("A.ttl").alias("ttl"), values("NS").alias("ns_records"))
         .withColumns({"mx_count": F.size("mx_records"), "ns_count": F.size("ns_records")})
         .select("base_domain", "mx_records", "mx_count", "ip", "ttl", "ns_records", "ns_count")
     )

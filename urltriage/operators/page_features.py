@@ -216,12 +216,20 @@ def with_fetch_status(pages: DataFrame) -> DataFrame:
     return pages.withColumn("ok", ok).withColumn("error", F.when(~ok, F.coalesce(stated, fallback)))
 
 
-def page_features(pages: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
-    """All features of (url, brand, html) rows except joined facts."""
+def page_features(
+    pages: DataFrame, suffixes: DataFrame | None = None, brands: DataFrame | None = None
+) -> DataFrame:
+    """All features of (url, brand, html) rows except joined facts.
+
+    With ``brands`` (brand, url), pages have no brand of their own: each is parsed
+    once, and only the compact columns are joined to the brands of its URL.
+    """
     parsed = parse_pages(pages).withColumns(
         {"host": url_host(F.col("url")), "is_https": is_https_scheme(F.col("url"))}
     )
     placed = with_registrable_domain(parsed, "host", suffixes)
+    if brands is not None:
+        placed = placed.join(brands, "url")
     flagged = brand_flags(placed)
     judged = flagged.withColumns(
         {

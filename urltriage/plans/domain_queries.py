@@ -15,7 +15,13 @@ from urltriage.operators.domain_risk import score_domain
 from urltriage.operators.mentions import similar_pairs
 from urltriage.operators.suffix import inline_table, with_registrable_domain
 from urltriage.plans import fixtures as fx
-from urltriage.plans.domain_triage import locate, triage_domains, with_keyword_order
+from urltriage.plans.domain_triage import (
+    locate,
+    score_sites,
+    triage_domains,
+    update_domain_facts,
+    with_keyword_order,
+)
 from urltriage.plans.registry import query, sql_list, with_tables
 from urltriage.schemas import SERP_ITEMS
 from urltriage.session import shared_folder
@@ -750,6 +756,50 @@ INCREMENTAL_SQL = with_tables(
 )
 
 
+@query("stream_two_feeds", INCREMENTAL_SQL)
+def stream_two_feeds(spark, sf):
+    """Two feeds with a checkpoint of their own into one results table.
+
+    The second one also brings the hits of the first, which are not triaged again.
+    """
+    first, both, out = (shared_folder(spark, n) for n in ("feed-1", "feed-2", "triaged"))
+    hits = fx.derive(spark, sf, "fx_hits").select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in SERP_ITEMS.fields]
+    )
+    hits.filter(F.col("keyword") == fx.KEYWORDS[0][0]).write.parquet(first)
+    hits.write.parquet(both)
+    for incoming in (first, both):
+        _feed(spark, sf, incoming, out, shared_folder(spark, "progress"))
+    return _streamed(spark, out)
+
+
+@query(
+    "verdict_upsert",
+    with_tables(
+        ["fx_hits", "fx_facts"],
+        [
+            *triage_steps(skip_prior=False),
+            (
+                "o_verdict",
+                """select base_domain, score, filtered from (select *, row_number() over (partition by base_domain
+                order by case keyword when 'acme' then 0 else 1 end desc, rank desc, url desc) as rn
+                from o_scored where base_domain <> '') v where rn = 1""",
+            ),
+        ],
+        """select coalesce(f.base_domain, v.base_domain) as base_domain, f.registrar, f.mx_count, v.score, v.filtered
+        from fx_facts f full join o_verdict v on f.base_domain = v.base_domain""",
+    ),
+)
+def verdict_upsert(spark, sf):
+    """The facts table after a run: verdicts added, looked-up facts kept."""
+    facts = fx.facts(spark, sf)
+    scored = score_sites(
+        fx.derive(spark, sf, "fx_hits"), facts, fx.AS_OF, keywords=fx.keywords(spark), suffixes=fx.suffixes(spark)
+    )
+    updated = update_domain_facts(facts, scored, fx.AS_OF)
+    return _ints(updated.select("base_domain", "registrar", "mx_count", "score", "filtered"), "mx_count", "score")
+
+
 @query("incremental_triage", INCREMENTAL_SQL)
 def incremental_triage(spark, sf):
     """Batches of arriving files, one keyword each; equals the batch result."""
@@ -758,10 +808,15 @@ def incremental_triage(spark, sf):
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in SERP_ITEMS.fields]
     )
     for word, seq in fx.KEYWORDS:
-        hits.filter(F.col("keyword") == word).coalesce(1).write.parquet(f"{incoming}/{seq}")
+        hits.filter(F.col("keyword") == word).write.parquet(f"{incoming}/{seq}")
+    _feed(spark, sf, f"{incoming}/*", out, state)
+    return _streamed(spark, out)
+
+
+def _feed(spark, sf, incoming: str, out: str, state: str) -> None:
     stream = triage_stream(
         spark,
-        f"{incoming}/*",
+        incoming,
         out,
         state,
         fx.facts(spark, sf),
@@ -770,9 +825,11 @@ def incremental_triage(spark, sf):
         suffixes=fx.suffixes(spark),
     )
     stream.awaitTermination()
-    done = results_so_far(spark, out)
+
+
+def _streamed(spark, out: str) -> DataFrame:
     return _ints(
-        done.select(
+        results_so_far(spark, out).select(
             "normalized_url", "keyword", "domain", "suspicious",
             F.array_join("reasons", " | ").alias("reasons"), "score", "filtered",
         ),

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from urltriage import config
 from urltriage.functions.text import text_array
 from urltriage.functions.urls import url_host, with_normalized_url
-from urltriage.operators.domain_risk import score_domain
-from urltriage.operators.facts import canonical_facts, fresh_facts, prefilter
+from urltriage.operators.domain_risk import score_domain, verdict_facts
+from urltriage.operators.facts import canonical_facts, fresh_facts, prefilter, update_facts
 from urltriage.operators.results import first_per_url, result_rows, skip_processed
 from urltriage.operators.suffix import with_registrable_domain
 
 
+UNLISTED = 2**31 - 1
+
+
 def with_keyword_order(serp: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """Add keyword_seq, the position of the keyword in the run.
 
@@ -23,7 +26,11 @@ def with_keyword_order(serp: DataFrame, keywords: DataFrame | None = None) -> Da
     """
     if keywords is None:
         return serp.withColumn("keyword_seq", F.col("keyword"))
-    return serp.join(keywords.select("keyword", F.col("seq").alias("keyword_seq")), "keyword", "left")
+    return serp.join(keywords.select("keyword", F.col("seq").alias("keyword_seq")), "keyword", "left").withColumn(
+        # Keywords that the table does not list come last.
+        "keyword_seq",
+        F.coalesce("keyword_seq", F.lit(UNLISTED)),
+    )
 
 
 def locate(sites: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
@@ -101,3 +108,8 @@ def triage_domains(serp: DataFrame, facts: DataFrame, as_of, **options) -> DataF
     and suffix lookup are narrow.
     """
     return result_rows(score_sites(serp, facts, as_of, **options))
+
+
+def update_domain_facts(facts: DataFrame, scored: DataFrame, as_of) -> DataFrame:
+    """The facts table after a run: verdicts of ``score_sites`` added, facts kept."""
+    return update_facts(facts, verdict_facts(scored, as_of))

@@ -10,8 +10,11 @@ from urltriage.functions.text import as_timestamp, text_array
 from urltriage.operators.facts import tls_status
 from urltriage.operators.page_features import logo_similarity, page_features, with_fetch_status
 from urltriage.operators.page_risk import score_page
+from urltriage.session import shared_folder
 
 MIN_SCORE = 0.3
+#: Candidate URLs that are sent to all executors at most.
+BROADCAST_URLS = 200_000
 
 
 def analyze_pages(
@@ -23,20 +26,27 @@ def analyze_pages(
     options: config.PageRiskOptions | None = None,
     images: DataFrame | None = None,
     known_logo: bytes | None = None,
+    brands: DataFrame | None = None,
 ) -> DataFrame:
     """Features, score, category and reasons of every (brand, url) page.
 
     The page table is read once.  Its HTML becomes compact columns before any
     join; facts are then joined on base_domain and host.  A page that was not
     fetched gets score 0, one reason and no category; a row that cannot be
-    analyzed at all (no url or brand) becomes category ``error``.
+    analyzed at all (no url or brand) becomes category ``error``.  With ``brands``
+    (brand, url) pages come without a brand and are analyzed for those of their URL.
+    With logo images, the compact columns are written to the shared folder when this
+    is called, because both the score and the comparison read them.
     """
-    fetched = with_fetch_status(pages).withColumn(
-        "invalid", F.col("url").isNull() | F.col("brand").isNull()
-    )
+    absent = F.col("url").isNull() | (F.lit(False) if brands is not None else F.col("brand").isNull())
+    fetched = with_fetch_status(pages).withColumn("invalid", absent)
     usable = F.col("ok") & ~F.col("invalid")
     # Unusable rows carry no HTML into the parsing stage.
-    features = page_features(fetched.withColumn("html", F.when(usable, F.col("html"))), suffixes)
+    features = page_features(fetched.withColumn("html", F.when(usable, F.col("html"))), suffixes, brands)
+    if images is not None and known_logo is not None:
+        folder = shared_folder(features.sparkSession, "page-features")
+        features.write.parquet(folder)
+        features = features.sparkSession.read.schema(features.schema).parquet(folder)
     aged = features.join(
         whois.select("base_domain", "domain_age_days", "whois_suspicious"), "base_domain", "left"
     )
@@ -100,10 +110,20 @@ def triage_pages(
     min_score_filter: float = MIN_SCORE,
     **options,
 ) -> DataFrame:
-    """Ranked analyses, optionally only of the given candidate (brand, url) pairs."""
+    """Ranked analyses, optionally only of the given candidate (brand, url) pairs.
+
+    Candidates are joined to parsed pages. If their URLs are few, pages of other URLs
+    are dropped before by a broadcast; the page source is never shuffled.
+    """
+    brands = None
     if candidates is not None:
-        pages = pages.drop("brand").join(candidates.select("brand", "url").distinct(), "url")
-    return rank_pages(analyze_pages(pages, whois, tls_facts, as_of, **options), min_score_filter)
+        brands = candidates.select("brand", "url").filter("brand is not null and url is not null").distinct()
+        pages = pages.drop("brand")
+        urls = brands.select("url").distinct()
+        if urls.limit(BROADCAST_URLS + 1).count() <= BROADCAST_URLS:
+            pages = pages.join(F.broadcast(urls), "url", "left_semi")
+    analyzed = analyze_pages(pages, whois, tls_facts, as_of, brands=brands, **options)
+    return rank_pages(analyzed, min_score_filter)
 
 
 def top_report(pages: DataFrame, n: int = 30) -> DataFrame:

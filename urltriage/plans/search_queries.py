@@ -52,6 +52,7 @@ _LINKS = [
         on l.brand = b.brand and l.query_seq = b.query_seq where b.before < {MAX_RESULTS}""",
     ),
 ]
+_ALL_LINKS = [*_LINKS[:2], ("o_link", _LINKS[2][1].replace(f" where pos < {PER_QUERY}", ""))]
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
 _NEWS = " or ".join(f"contains(host, '{h}')" for h in C.NEWS_AND_SOCIAL_HOSTS)
 
@@ -123,13 +124,9 @@ def candidate_filter(spark, sf):
     with_tables(
         ["fx_serp_pages", *_PAGE_TABLES],
         [
-            *_LINKS[:3],
+            *_ALL_LINKS,
             _kept("o_link", "o_kept"),
-            (
-                "o_cand",
-                """select brand, url from (select brand, url, row_number() over (partition by brand
-                order by query_seq, pos, url) as position from o_kept) p where position <= 100000""",
-            ),
+            ("o_cand", "select brand, url from o_kept"),
             *page_score_steps(),
         ],
         f"""select p.page_id, p.url, p.brand, p.score, {_CATEGORY.replace('score', 'p.score')} as category
@@ -137,8 +134,8 @@ def candidate_filter(spark, sf):
     ),
 )
 def brand_page_triage(spark, sf):
-    """Search pages to candidates to analyzed pages, per brand."""
-    found = S.search_candidates(_serp(spark, sf), 100_000, PER_QUERY)
+    """Search pages to all candidates to analyzed pages, per brand."""
+    found = S.search_candidates(_serp(spark, sf), max_results=None, per_query=None)
     ranked = T.triage_pages(
         fx.derive(spark, sf, "fx_fetch"),
         _whois(spark, sf),
@@ -189,8 +186,8 @@ def history_upgrade(spark, sf):
     )
     path = shared_folder(spark, "history")
     merged = merge_history(upgrade_history(v1.drop("page_id")), odd.drop("page_id"))
-    append_analysis(merged, path, "2024-12-31 00:00:00")
-    append_analysis(later.drop("page_id"), path, fx.AS_OF)
+    append_analysis(merged, path, "1")
+    append_analysis(upgrade_history(later.drop("page_id")), path, "2")
     return read_history(spark, path).select(
         "url", "base_domain", "score", "category",
         F.date_format("analyzed_at", "yyyy-MM-dd HH:mm:ss").alias("analyzed_at"), "content_analysis",
@@ -236,8 +233,31 @@ def analysis_history(spark, sf):
     path = shared_folder(spark, "analyses")
     done = _analyzed(spark, sf).filter(F.col("category") != "error")
     rows = analysis_rows(done, 0.0)
-    append_analysis(rows, path, fx.AS_OF)
+    append_analysis(rows, path, "first")
+    append_analysis(rows, path, "first")
     return read_history(spark, path).select(
         "url", "base_domain", "score", "category",
         F.date_format("analyzed_at", "yyyy-MM-dd HH:mm:ss").alias("analyzed_at"),
     )
+
+
+@query(
+    "history_two_brands",
+    with_tables(
+        ["fx_history_v1"],
+        [],
+        """select url, brand, cast(score as double) + extra as score from fx_history_v1,
+        (values ('acme', 0.0), ('paypal', 1.0)) b(brand, extra)""",
+    ),
+)
+def history_two_brands(spark, sf):
+    """Two runs at one instant, one for each brand; none replaces the other."""
+    path = shared_folder(spark, "two-brands")
+    v1 = fx.derive(spark, sf, "fx_history_v1")
+    for brand, extra in (("acme", 0.0), ("paypal", 1.0)):
+        rows = v1.select(
+            "url", F.lit(brand).alias("brand"), "base_domain", (F.col("score") + extra).cast("double").alias("score"),
+            "category", as_timestamp(fx.AS_OF).alias("analyzed_at"),
+        )
+        append_analysis(upgrade_history(rows), path, brand)
+    return read_history(spark, path).select("url", "brand", "score")

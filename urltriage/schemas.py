@@ -63,6 +63,6 @@ CONTENT_ANALYSIS = (
     "logo_matches:array<struct<src:string,alt:string,title:string>>>"
 )
 ANALYSIS_HISTORY = table(
-    "url string, base_domain string, score double, category string, reasons array<string>, "
-    "analyzed_at timestamp, analysis_time_s double, content_analysis string"
+    "url string, brand string, base_domain string, score double, category string, "
+    "reasons array<string>, analyzed_at timestamp, analysis_time_s double, content_analysis string"
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -15,8 +17,6 @@ RECOMMENDED = {
     # Splits the partition of a hot host, domain or image in every join below.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # First-n-per-key keeps only n rows per key and task before the shuffle.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # The JVM never compiles a method above this size; such a stage runs faster
     # as separate operators whose code is split into small methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -24,8 +24,14 @@ RECOMMENDED = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Settings for the jobs; on one machine also a scratch folder if none is set."""
     for key, value in RECOMMENDED.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if _shared_root(spark) is None and context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="urltriage-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(f"file://{folder}")
     return spark
 
 
@@ -49,20 +55,27 @@ def local_session(
     return spark
 
 
+def _shared_root(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 @functools.cache
-def _stand_in() -> str:
-    return tempfile.mkdtemp(prefix="urltriage-")
+def _application_folder(spark: SparkSession, root: str, application: str) -> str:
+    """A folder below ``root`` that is removed when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/urltriage-{application}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder that all executors can reach, gone after the application.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    stands in for it.
+    It lies below ``spark.checkpoint.dir``, or the checkpoint folder set in the session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = _stand_in()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    root = _shared_root(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = _application_folder(spark, root, spark.sparkContext.applicationId)
+    return f"{folder}/{purpose}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,17 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULTS).parquet(path)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as (src, content); src is the file's location."""
+def read_images(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Image files as (src, content).
+
+    ``manifest`` (src, path) gives each image's absolute URL and its file below
+    ``path``; pages refer to images by that URL. Without one, src is the file's
+    location.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path").alias("src"), "content")
+    if manifest is None:
+        return files.select(F.col("path").alias("src"), "content")
+    folder = urlsplit(path).path.rstrip("/") + "/"
+    below = F.substring_index("path", folder, -1)
+    named = manifest.select("src", F.ltrim(F.col("path"), F.lit("/")).alias("_below"))
+    return files.withColumn("_below", below).join(named, "_below").select("src", "content")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urltriage import config, schemas
-from urltriage.functions.text import as_timestamp, list_to_json
+from urltriage.functions.text import list_to_json
 from urltriage.operators.keyed import latest_per_key
 from urltriage.operators.results import suspicious
 
-HISTORY_KEY = ["url", "analyzed_at"]
+#: One page may be analyzed for several brands at one instant.
+HISTORY_KEY = ["url", "brand", "analyzed_at"]
 
 
 def lists_as_json(df: DataFrame) -> DataFrame:
@@ -51,6 +54,7 @@ def analysis_rows(analyzed: DataFrame, analysis_time_s: float | None = None) ->
     """Analyses in the layout of the history table."""
     return analyzed.select(
         "url",
+        "brand",
         "base_domain",
         "score",
         "category",
@@ -62,7 +66,7 @@ def analysis_rows(analyzed: DataFrame, analysis_time_s: float | None = None) ->
 
 
 def upgrade_history(old: DataFrame) -> DataFrame:
-    """Older rows lack content_analysis; it becomes null."""
+    """Older rows lack brand or content_analysis; these become null."""
     empty = old.sparkSession.createDataFrame([], schemas.ANALYSIS_HISTORY)
     return empty.unionByName(old, allowMissingColumns=True).select(*schemas.ANALYSIS_HISTORY.names)
 
@@ -77,20 +81,27 @@ def merge_history(old: DataFrame, new: DataFrame) -> DataFrame:
     return latest_per_key(both, HISTORY_KEY, ["_new"]).drop("_new")
 
 
-def append_analysis(rows: DataFrame, path: str, as_of) -> None:
-    """Append a run's rows, each (url, analyzed_at) once.
+def append_analysis(rows: DataFrame, path: str, run_id: str) -> None:
+    """Append a run's rows, each (url, brand, analyzed_at) once.
 
-    A run has its own folder, named after its instant, so repeating a run after
-    a failure replaces its rows instead of doubling them.
+    ``run_id`` names the run; the caller gives every run its own, and the same one
+    when it repeats a run after a failure. A run has its own folder, so a repeated
+    one replaces its rows, and runs at the same instant don't touch each other.
     """
-    run = F.date_format(as_timestamp(as_of), "yyyyMMdd'T'HHmmss")
-    name = rows.sparkSession.range(1).select(run.alias("r")).first()["r"]
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError("a run id has letters, digits, dots, dashes and underscores")
     once = latest_per_key(rows.select(*schemas.ANALYSIS_HISTORY.names), HISTORY_KEY, ["score"])
-    once.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={name}")
+    once.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run_id}")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """All runs; of one key the latest run counts."""
-    stored = spark.read.option("mergeSchema", True).parquet(path)
-    renamed = stored.withColumn("run", F.col("run").cast("string"))
-    return latest_per_key(renamed, HISTORY_KEY, ["run"]).select(*schemas.ANALYSIS_HISTORY.names)
+    """All runs; if runs share a key, the one with the greatest id counts."""
+    stored = _in_layout(spark.read.option("mergeSchema", True).parquet(path))
+    return latest_per_key(stored, HISTORY_KEY, ["run"]).select(*schemas.ANALYSIS_HISTORY.names)
+
+
+def _in_layout(stored: DataFrame) -> DataFrame:
+    """Rows of all runs in the present layout, with ``run`` as text."""
+    names = schemas.ANALYSIS_HISTORY.names
+    known = [F.col(c) if c in stored.columns else F.lit(None).cast(schemas.ANALYSIS_HISTORY[c].dataType).alias(c) for c in names]
+    return stored.select(*known, F.col("run").cast("string").alias("run"))

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from urltriage import config, schemas
-from urltriage.operators.results import storable
-from urltriage.plans.domain_triage import triage_domains
+from urltriage.operators.domain_risk import verdict_facts
+from urltriage.operators.results import result_rows, storable
+from urltriage.plans.domain_triage import score_sites
 from urltriage.sources.writers import export_suspicious_csv
 
+#: A batch reads the keys of all results, so it should not be tiny.
+FILES_PER_BATCH = 64
+
 
 def results_so_far(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Results of all finished batches (with their batch number)."""
-    schema = schemas.table("batch_id int")
+    """Results of all finished batches (with their stream and batch number)."""
+    schema = schemas.table("stream string, batch_id int")
     for field in schemas.RESULTS.fields:
         schema = schema.add(field)
     return spark.read.schema(schema).parquet(out_dir)
 
 
+def stream_id(spark: SparkSession, checkpoint_dir: str) -> str:
+    """Name of the stream that has this checkpoint; kept beside it, so a restart finds it."""
+    path = f"{checkpoint_dir.rstrip('/')}-stream-id"
+    try:
+        return spark.read.text(path).first()["value"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(path)
+    return name
+
+
 def run_batches(
     hits: DataFrame,
     facts: DataFrame,
@@ -27,31 +47,38 @@ def run_batches(
     checkpoint_dir: str,
     as_of,
     report_dir: str | None = None,
+    facts_dir: str | None = None,
     min_score: int = config.SUSPICIOUS_THRESHOLD,
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
     """Triage each micro-batch of a streaming hits table against earlier results.
 
-    Every batch writes its own folder in overwrite mode, so a batch repeated
-    after a failure does not store its rows twice, and it only compares with
-    batches before it.  The results table itself is the memory of what was
-    seen; no streaming state grows in the executors.
+    Every batch of a stream writes its own folder in overwrite mode, so a batch
+    repeated after a failure does not store its rows twice; it is compared with the
+    results of all other batches, those of other streams and of streams with another
+    checkpoint included.  The results table itself is the memory of what was
+    seen; no streaming state grows in the executors.  Report parts and, with
+    ``facts_dir``, updated facts are written by batch as well.
     """
     spark = hits.sparkSession
+    name = stream_id(spark, checkpoint_dir)
     # An empty table to start from.
     spark.createDataFrame([], schemas.RESULTS).write.mode("append").parquet(out_dir)
 
     def triage(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        earlier = results_so_far(session, out_dir).filter(F.col("batch_id") < batch_id)
-        new = triage_domains(batch, facts, as_of, prior=earlier, **options)
-        storable(new, as_of).write.mode("overwrite").parquet(
-            f"{out_dir.rstrip('/')}/batch_id={batch_id}"
-        )
+        own = f"stream={name}/batch_id={batch_id}"
+        this_one = F.col("stream").eqNullSafe(F.lit(name)) & F.col("batch_id").eqNullSafe(F.lit(batch_id))
+        earlier = results_so_far(session, out_dir).filter(~this_one)
+        scored = score_sites(batch, facts, as_of, prior=earlier, **options)
+        folder = f"{out_dir.rstrip('/')}/{own}"
+        storable(result_rows(scored), as_of).write.mode("overwrite").parquet(folder)
+        if facts_dir is not None:
+            verdict_facts(scored, as_of).write.mode("overwrite").parquet(f"{facts_dir.rstrip('/')}/{own}")
         if report_dir is not None:
-            seen = results_so_far(session, out_dir).filter(F.col("batch_id") <= batch_id)
-            export_suspicious_csv(seen.drop("batch_id"), report_dir, min_score)
+            done = session.read.schema(schemas.RESULTS).parquet(folder)
+            export_suspicious_csv(done, f"{report_dir.rstrip('/')}/{own}", min_score)
 
     return (
         hits.writeStream.foreachBatch(triage)
@@ -68,11 +95,11 @@ def triage_stream(
     checkpoint_dir: str,
     facts: DataFrame,
     as_of,
-    files_per_batch: int = 1,
+    files_per_batch: int = FILES_PER_BATCH,
     fmt: str = "parquet",
     **options,
 ) -> StreamingQuery:
-    """Watch a folder; by default each arriving file (one keyword) is a batch."""
+    """Watch a folder; each batch takes the files that have arrived, up to a number."""
     hits = (
         spark.readStream.schema(schemas.SERP_ITEMS)
         .option("maxFilesPerTrigger", files_per_batch)
