@@ -217,7 +217,7 @@ def _spread(entries: DataFrame, cell_block: int) -> DataFrame:
         entries.join(hot, "cell", "left")
         .withColumn("blocks", blocks)
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         .select(
             "cell",
             "fp",

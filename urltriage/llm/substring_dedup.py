@@ -200,7 +200,8 @@ def drop_repeats(
     marked = docs.join(
         stored(spans, "repeat-spans").toDF(id_name, spans_name), col(id_col) == F.col(id_name), "left"
     ).drop(id_name)
-    text_at = [c.lower() for c in docs.columns].index(text_col.lower())
+    names = docs.columns
+    text_at = [c.lower() for c in names].index(text_col.lower())
 
     def run(batches):
         for batch in batches:
@@ -212,6 +213,6 @@ def drop_repeats(
                 texts.append(text)
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             arrays[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(arrays, docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return marked.select(*docs.columns, spans_name).mapInArrow(run, docs.schema)
+    return marked.select(*map(col, names), spans_name).mapInArrow(run, docs.schema)
