@@ -135,8 +135,12 @@ def exact_dedup(
     ignored.
     """
     named = stored(name_texts(docs, id_col, text_col, **options), "text-names")
-    groups = named.groupBy("identity").agg(
-        F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size")
+    # Written, so that both sides of the join are plain shuffles and a large group can be split.
+    groups = stored(
+        named.groupBy("identity").agg(
+            F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size")
+        ),
+        "text-groups",
     )
     return named.join(groups, "identity").select(
         "doc_id",
