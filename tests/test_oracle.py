@@ -33,6 +33,27 @@ def test_no_nested_loops(spark, name):
     assert "NestedLoopJoin" not in plan
 
 
+#: Beginnings of reasons that page rules give.
+REASONS = (
+    "Dominio exacto", "Marca en dominio", "Marca en path", "Plataforma oficial", "Formularios con campo password",
+    "Formularios con campo email", "Formularios con campos sospechosos", "Ratio forms", "Keywords de credenciales",
+    "Keywords ecommerce", "Keywords de urgencia", "Keywords de phishing", "Keywords de replica", "pago sospechoso",
+    "contacto insuficiente", "TLD sospechoso", "Similitud tipográfica", "proporción de enlaces", "Poca cantidad",
+    "educativo/informativo", "Sin HTTPS", "Domini o joven", "SSL inválido", "Emisor SSL", "cantidad de imágenes",
+)
+
+
+def test_page_rules_fire(spark):
+    """Each rule gives its reason for several pages at sf0.01."""
+    found = [r["reasons"] for r in QUERIES["page_score"](spark, "/root/testdata/sf0.01").select("reasons").collect()]
+    rare = {r: n for r in REASONS if (n := sum(r in x for x in found)) < 5}
+    assert not rare
+    brands = [r["reasons"] for r in QUERIES["page_score_brands"](spark, "/root/testdata/sf0.01").collect()]
+    assert sum("múltiples marcas" in x for x in brands) >= 5
+    logos = [r["reasons"] for r in QUERIES["page_triage_logo"](spark, "/root/testdata/sf0.01").collect()]
+    assert sum("Logo similar" in x for x in logos) >= 5
+
+
 def test_page_source_is_never_shuffled(spark):
     """Also where nothing can be broadcast, the HTML stays below the first exchange."""
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")

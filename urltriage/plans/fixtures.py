@@ -28,6 +28,22 @@ _SITE_URL = (
     "replace(replace(replace(replace(url,'example.com',x),'example.net',x),'example.org',x),'://',p)"
 )
 
+# Pages whose address or content makes the rarer page rules fire.
+_PAGE_URL = f"""case page_id % 25 when 1 then concat('https://www.acm3.com/p', cast(page_id as string))
+  when 2 then concat('https://shop.nordstrom.com/p', cast(page_id as string))
+  when 3 then concat('https://www.cipriani.com/p', cast(page_id as string))
+  when 4 then concat('https://acme-shop', cast(page_id % 7 as string), '.net/p', cast(page_id as string))
+  when 5 then concat('https://other', cast(page_id % 7 as string), '.org/acme/p', cast(page_id as string))
+  else {_SITE_URL} end"""
+_PAGE_BRAND = """case when page_id % 25 = 3 then 'cipriani' when page_id % 25 in (1, 2, 4, 5) then 'acme'
+  when page_id % 2 = 0 then 'acme' else 'paypal' end"""
+_PAGE_HTML = """case page_id % 25
+  when 7 then '<html><body><p>Short page</p><form action="/go"><input name="q"></form></body></html>'
+  when 8 then replace(html, '</body>', concat(repeat('<a href="https://outside.example/x">e</a>', 80), '</body>'))
+  when 9 then '<html><head><title>How to avoid a scam</title></head><body><p>Guide for readers.</p></body></html>'
+  when 10 then concat('<html><body><p>Shop</p>', repeat('<img src="/p.png">', 22), '</body></html>')
+  else html end"""
+
 SQL = {
     "fx_sites": f"""
 select page_id, 1 + page_id % 50 as rank,
@@ -70,11 +86,11 @@ select page_id, url, replace(html, '</body>', concat(case page_id % 12
  when 8 then '<p>cart checkout sale oferta limited stock claim now verify account</p><form><input type="password"></form>'
  else '' end, '</body>')) as html from {pages}""",
     "fx_fetch": f"""
-select page_id, case when page_id % 2 = 0 then 'acme' else 'paypal' end as brand,
- {_SITE_URL} as url,
+select page_id, {_PAGE_BRAND} as brand,
+ {_PAGE_URL} as url,
  case when page_id % 23 = 7 then null when page_id % 17 = 5 then 404 else 200 end as status,
- {_SITE_URL} as final_url,
- case when page_id % 29 = 3 then '  ' else html end as html,
+ {_PAGE_URL} as final_url,
+ case when page_id % 29 = 3 then '  ' else {_PAGE_HTML} end as html,
  case when page_id % 23 = 7 then 'timeout' else null end as error,
  x as base_domain_expected
 from (select page_id, url, html, {_SITE_DOMAIN} as x, {_SITE_PREFIX} as p from {{fx_pages}}) s""",

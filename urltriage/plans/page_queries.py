@@ -409,14 +409,24 @@ def _images(pages):
     )
 
 
+# Best similarity of a page's images to the logo; an image is the bytes of its path.
+LOGO_STEPS = [
+    ("o_img", "select page_id, unnest(regexp_extract_all(html, '<img [^>]*>')) as tag from fx_pages"),
+    (
+        "o_logo",
+        """select page_id, max(1 - hamming(md5(src), md5('/logo.png')) / 32) as logo_similarity
+        from (select page_id, regexp_extract(tag, 'src="([^"]*)"', 1) as src from o_img) s
+        where src in ('/logo.png', '/b.png', '/p.png') group by page_id""",
+    ),
+]
+
+
 @query(
     "logo_similarity",
     with_tables(
         ["fx_pages"],
-        [],
-        """select page_id, case when page_id % 12 = 4 then 1.0
-          else round(1 - hamming(md5('/p.png'), md5('/logo.png')) / 32, 6) end as logo_similarity
-        from fx_pages where page_id % 12 in (4, 5) and contains(html, '</body>')""",
+        LOGO_STEPS,
+        "select page_id, round(logo_similarity, 6) as logo_similarity from o_logo",
     ),
 )
 def logo_similarity(spark, sf):
@@ -490,13 +500,28 @@ _RULES = [
     (f"ssl_issuer not in ({_ISSUERS})", "0.35", "'Emisor SSL no confiable: ' || ssl_issuer"),
     ("images_n > 20 and text_len < 1000", "0.3", "'Alta cantidad de imágenes con poco texto (posible fake shop)'"),
 ]
-_TOTAL = " + ".join(f"case when coalesce({c}, false) then {w} else 0 end" for c, w, _ in _RULES)
-_REASONS = "[" + ", ".join(f"case when coalesce({c}, false) then {r} end" for c, _, r in _RULES) + "]"
+_LEGIT = "(exact_b or platform or (logo > 0.8 and coalesce(age, 0) > 365 and coalesce(ssl_valid, false)))"
 _LEGIT_NOTE = "Override: Señales legit fuertes (dominio viejo, SSL válido, logo match)"
 
 
-def page_score_steps() -> list[tuple[str, str]]:
-    """Scores of the fetched pages of ``fx_fetch``."""
+# Rules whose inputs come from elsewhere: several brands, and the known logo.
+_KNOWN_RULES = [
+    ("multi_brand", "0.5", "'Inventario con múltiples marcas no relacionadas (scam típico)'"),
+    ("logo > 0.8", "-0.4", "'Logo similar detectado (sim: ' || cast(round_even(logo, 2) as varchar) || ')'"),
+]
+
+
+def _sum_of(rules) -> str:
+    return " + ".join(f"case when coalesce({c}, false) then {w} else 0 end" for c, w, _ in rules)
+
+
+def _reasons_of(rules) -> str:
+    return "[" + ", ".join(f"case when coalesce({c}, false) then {r} end" for c, _, r in rules) + "]"
+
+
+def page_score_steps(logo: str = "0", multi_brand: str = "false") -> list[tuple[str, str]]:
+    """Scores of the fetched pages of ``fx_fetch``, with SQL for the inputs from elsewhere."""
+    rules = [*_RULES, *_KNOWN_RULES]
     return [
         ("o_ok", "select *, brand as keyword from fx_fetch where status = 200 and trim(html) <> ''"),
         *located("o_ok", "url"),
@@ -510,7 +535,7 @@ def page_score_steps() -> list[tuple[str, str]]:
             "o_feat",
             f"""select t.*, len(text) as text_len, coalesce(f.forms_count, 0) as forms_n, coalesce(f.ext_ratio, 0) as ext_ratio,
             coalesce(f.odd_n, 0) as odd_n, coalesce(f.pw_n, 0) as pw_n, coalesce(f.mail_n, 0) as mail_n, f.details,
-            l.link_ratio, len(regexp_extract_all(t.dom, '<img ')) as images_n,
+            {logo} as logo, {multi_brand} as multi_brand, l.link_ratio, len(regexp_extract_all(t.dom, '<img ')) as images_n,
             datediff('day', cast(nullif(regexp_extract(w.response_text, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') as date), date '2025-01-01') as age,
             t.domain_core = t.brand as exact_b, contains(t.host, t.brand) as in_dom,
             contains(lower(regexp_extract(t.url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), t.brand)
@@ -523,13 +548,13 @@ def page_score_steps() -> list[tuple[str, str]]:
         ),
         (
             "o_sum",
-            f"""select *, 1 / (1 + exp(-3 * cast({_TOTAL} as double))) as raw,
-            list_filter({_REASONS}, lambda x: x is not null) as rs from o_feat""",
+            f"""select *, 1 / (1 + exp(-3 * cast({_sum_of(rules)} as double))) as raw,
+            list_filter({_reasons_of(rules)}, lambda x: x is not null) as rs from o_feat""",
         ),
         (
             "o_pscored",
-            f"""select *, round(case when exact_b or platform then greatest(0, raw - 0.5) else raw end, 4) as score,
-            array_to_string(list_sort(list_distinct(case when exact_b or platform then rs || ['{_LEGIT_NOTE}'] else rs end)), ' | ') as reasons
+            f"""select *, round(case when {_LEGIT} then greatest(0, raw - 0.5) else raw end, 4) as score,
+            array_to_string(list_sort(list_distinct(case when {_LEGIT} then rs || ['{_LEGIT_NOTE}'] else rs end)), ' | ') as reasons
             from o_sum""",
         ),
     ]
@@ -585,6 +610,60 @@ _ALL_PAGES = f"""select page_id, url, case when page_id % 100 >= 2 then brand en
  from (select page_id, url, brand, score, {_CATEGORY} as category, reasons from o_pscored union all {_FAILED}) u"""
 
 
+def _fetched_images(pages):
+    return _images(pages.select(F.col("final_url").alias("url")))
+
+
+_FETCHED_LOGO = [
+    (LOGO_STEPS[0][0], LOGO_STEPS[0][1].replace("fx_pages", "fx_fetch")),
+    LOGO_STEPS[1],
+]
+_LOGO_OF_PAGE = "coalesce((select g.logo_similarity from o_logo g where g.page_id = t.page_id), 0)"
+
+
+@query(
+    "page_score_brands",
+    with_tables(
+        _PAGE_TABLES,
+        page_score_steps(multi_brand="t.page_id % 6 = 0"),
+        f"select page_id, brand, score, {_CATEGORY} as category, reasons from o_pscored",
+    ),
+)
+def page_score_brands(spark, sf):
+    """Pages of which another analysis says whether they show several brands."""
+    pages = P.with_fetch_status(fx.derive(spark, sf, "fx_fetch")).filter("ok")
+    features = P.page_features(pages, fx.suffixes(spark)).join(_whois(spark, sf), "base_domain", "left")
+    known = D.tls_status(features, fx.tls(spark, sf), fx.AS_OF)
+    return score_page(known.withColumn("multi_brand_detected", F.col("page_id") % 6 == 0)).select(
+        "page_id", "brand", "score", "category", F.array_join("reasons", " | ").alias("reasons")
+    )
+
+
+@query(
+    "page_triage_logo",
+    with_tables(
+        _PAGE_TABLES,
+        [*_FETCHED_LOGO, *page_score_steps(logo=_LOGO_OF_PAGE)],
+        f"select page_id, brand, score, {_CATEGORY} as category, reasons from o_pscored where score >= 0.3",
+    ),
+)
+def page_triage_logo(spark, sf):
+    """Ranked pages whose images are compared with a known logo."""
+    pages = fx.derive(spark, sf, "fx_fetch")
+    analyzed = T.analyze_pages(
+        pages,
+        _whois(spark, sf),
+        fx.tls(spark, sf),
+        fx.AS_OF,
+        suffixes=fx.suffixes(spark),
+        images=_fetched_images(pages),
+        known_logo=b"/logo.png",
+    )
+    return T.rank_pages(analyzed).select(
+        "page_id", "brand", "score", "category", F.array_join("reasons", " | ").alias("reasons")
+    )
+
+
 @query(
     "page_triage",
     with_tables(
