@@ -644,11 +644,11 @@ def page_score_brands(spark, sf):
     with_tables(
         _PAGE_TABLES,
         [*_FETCHED_LOGO, *page_score_steps(logo=_LOGO_OF_PAGE)],
-        f"select page_id, brand, score, {_CATEGORY} as category, reasons from o_pscored where score >= 0.3",
+        f"select page_id, brand, score, {_CATEGORY} as category, reasons from o_pscored",
     ),
 )
 def page_triage_logo(spark, sf):
-    """Ranked pages whose images are compared with a known logo."""
+    """Fetched pages whose images are compared with a known logo, ranked."""
     pages = fx.derive(spark, sf, "fx_fetch")
     analyzed = T.analyze_pages(
         pages,
@@ -659,7 +659,7 @@ def page_triage_logo(spark, sf):
         images=_fetched_images(pages),
         known_logo=b"/logo.png",
     )
-    return T.rank_pages(analyzed).select(
+    return T.rank_pages(analyzed.filter("ok"), min_score_filter=0.0).select(
         "page_id", "brand", "score", "category", F.array_join("reasons", " | ").alias("reasons")
     )
 
