@@ -78,8 +78,9 @@ TEXTS = {
     3: "",
     4: "paypa1 payqal paypai mrc",
     5: "acme " * 500,
+    6: "elle elle elle and elle, elle elle elle",
 }
-BRANDS = ["Acme", "paypal", "mr c", "yahoo!", "at&t"]
+BRANDS = ["Acme", "paypal", "mr c", "yahoo!", "at&t", "elle elle"]
 
 
 def by_hand(text, brand):
@@ -112,6 +113,29 @@ def test_brand_mentions_equal_search(spark, limit):
     assert all(k[1] == "acme" for k in got if k[0] == 5)
 
 
+@pytest.mark.parametrize("limit", [500_000, 10])
+def test_long_values_equal_brute_force(spark, monkeypatch, limit):
+    """Values of 30 to 60 characters have thousands of keys each; broadcast or not."""
+    monkeypatch.setattr("urltriage.operators.mentions.BROADCAST_KEYS", limit)
+    rng = random.Random(11)
+    lefts = ["".join(rng.choices("abcdef-", k=rng.randint(30, 60))) for _ in range(40)]
+    rights = []
+    for value in lefts[:20]:
+        letters = list(value)
+        for i in rng.sample(range(len(letters)), 2):
+            letters[i] = rng.choice("abcdef-")
+        rights.append("".join(letters))
+    a = spark.createDataFrame([(v,) for v in lefts], "a string")
+    b = spark.createDataFrame([(v,) for v in rights], "b string")
+    got = {(r["a"], r["b"]) for r in similar_pairs(a, b, 0.9).collect()}
+    con = duckdb.connect()
+    want = {
+        (x, y) for x in lefts for y in rights
+        if con.execute("select jaro_winkler_similarity(?, ?) > 0.9", [x, y]).fetchone()[0]
+    }
+    assert got == want and len(want) >= 20
+
+
 def test_no_nested_loop_in_similarity_join(spark):
     df = spark.createDataFrame([("a",)], "a string")
     plan = similar_pairs(df, df.select(F.col("a").alias("b")), 0.9)._jdf.queryExecution().executedPlan()

@@ -18,8 +18,9 @@ from urltriage.session import shared_folder
 _RARE_FIRST = "zqjxkvbpygfwmucldrhsnioate"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000
-# A value has some hundred keys, so this many stay within a broadcast.
-BROADCAST_VALUES = 10_000
+# Keyed rows of the shorter list that are sent to all tasks at most; a value of
+# 8 characters has some 50 keys, one of 60 characters some 10,000.
+BROADCAST_KEYS = 500_000
 
 
 def _need(own: Column, other: Column, min_jw: float, min_lev: float | None) -> Column:
@@ -87,6 +88,15 @@ def _lengths(values: DataFrame, name: str) -> dict[int, int]:
     return {r["n"]: r["count"] for r in rows}
 
 
+def _reach(lengths: list[int], min_jw: float, min_lev: float | None = None) -> tuple[int, int] | None:
+    """Lengths of strings that can meet one of these lengths at all; None: any."""
+    shrink = 3.0 * required_jaro(min_jw) - 2.0
+    shrink = shrink if min_lev is None else min(shrink, min_lev)
+    if shrink <= 0:
+        return None
+    return int(min(lengths) * shrink), int(max(lengths) / shrink) + 1
+
+
 def _tasks(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(
@@ -118,13 +128,10 @@ def similar_pairs(
     lefts, rights = distinct_values(left, lname), distinct_values(right, rname)
     by_length = _lengths(rights, rname)
     right_lengths = sorted(by_length) or [0]
-    shrink = 3.0 * required_jaro(min_jw) - 2.0
-    shrink = shrink if min_lev is None else min(shrink, min_lev)
-    if shrink > 0:
-        # Lengths that can meet any right value at all.
-        low, high = int(right_lengths[0] * shrink), int(right_lengths[-1] / shrink) + 1
-        lefts = lefts.filter(F.length(lname).between(low, high))
-        left_lengths = list(range(max(low, 1), high + 1))
+    reach = _reach(right_lengths, min_jw, min_lev)
+    if reach is not None:
+        lefts = lefts.filter(F.length(lname).between(*reach))
+        left_lengths = list(range(max(reach[0], 1), reach[1] + 1))
     else:
         left_lengths = sorted(_lengths(lefts, lname)) or [0]
     # Making keys is heavy per row and the values are few bytes, so adaptive
@@ -132,7 +139,7 @@ def similar_pairs(
     lefts = lefts.repartition(_tasks(left))
     keyed_left = _keyed(lefts, lname, "_ll", "_lr", right_lengths, *bounds)
     keyed_right = _keyed(rights, rname, "_lr", "_ll", left_lengths, *bounds)
-    if sum(by_length.values()) <= BROADCAST_VALUES:
+    if keyed_right.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         keyed_right = F.broadcast(keyed_right)
     pairs = keyed_left.join(keyed_right, ["_ll", "_lr", "_k"])
     a, b = f"`{lname}`", f"`{rname}`"
@@ -162,6 +169,20 @@ def _brand_forms(brands: DataFrame) -> DataFrame:
     ).filter(F.col("_words") > 0)
 
 
+def _apart(positions: Column, size: Column) -> Column:
+    """Number of runs of ``size`` words at sorted word positions, without overlapping ones."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-(2**30)).alias("end"))
+
+    def step(state: Column, at: Column) -> Column:
+        free = at >= state["end"]
+        return F.struct(
+            (state["n"] + free.cast("int")).alias("n"),
+            F.when(free, (at + size).cast("int")).otherwise(state["end"]).alias("end"),
+        )
+
+    return F.aggregate(positions, start, step)["n"]
+
+
 def _form_pattern(words: int, lead: bool, trail: bool) -> str:
     """Zero-width pattern whose group 1 is every text run of that shape."""
     body = f"{WORD}+(?:{NOT_WORD}+{WORD}+){{{words - 1}}}"
@@ -198,7 +219,12 @@ def brand_mentions(
     words = F.regexp_extract_all(low, F.lit(f"{WORD}+"), F.lit(0))
     names = brands.select(F.lower("brand").alias("brand")).filter(F.col("brand") != "").distinct()
 
-    vocabulary = texts.select(F.explode(F.array_distinct(words)).alias("term")).distinct()
+    def of_length(terms: Column, bounds: tuple[int, int] | None) -> Column:
+        return terms if bounds is None else F.filter(terms, lambda t: F.length(t).between(*bounds))
+
+    # Most words are too short or too long for any brand and never leave their text.
+    reach = _reach(sorted(_lengths(names, "brand")) or [0], min_jw)
+    vocabulary = texts.select(F.explode(F.array_distinct(of_length(words, reach))).alias("term")).distinct()
     fuzzy = similar_pairs(vocabulary, names, min_jw).select(
         "term", "brand", F.lit(0).alias("exact"), F.lit(1).alias("fuzzy")
     )
@@ -213,7 +239,9 @@ def brand_mentions(
     folder = shared_folder(spark, "brand-terms")
     lookup.write.parquet(folder)
     lookup = spark.read.schema("term string, brand string, exact int, fuzzy int").parquet(folder)
-    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    sizes = lookup.agg(F.count(F.lit(1)), F.min(F.length("term")), F.max(F.length("term"))).first()
+    lookup = lookup.withColumn("_size", F.regexp_count("brand", F.lit(f"{WORD}+")))
+    if sizes[0] <= broadcast_rows:
         lookup = F.broadcast(lookup)
 
     # Brands of several words, or with punctuation at an end, need text runs of
@@ -224,12 +252,23 @@ def brand_mentions(
         for s in shapes
         if (s["_words"], s["_lead"], s["_trail"]) != (1, False, False)
     ]
-    terms = texts.select(id_col, F.posexplode(F.concat(words, *runs)).alias("_pos", "term"))
+    # Positions are taken before the words of other lengths are left out.
+    terms = (
+        texts.select(id_col, F.transform(F.concat(words, *runs), lambda t, i: F.struct(i.alias("_pos"), t.alias("term"))).alias("_t"))
+        .select(id_col, F.explode(F.filter("_t", lambda t: F.length(t["term"]).between(sizes[1] or 0, sizes[2] or 0))).alias("_t"))
+        .select(id_col, "_t.*")
+    )
     found = terms.join(lookup, "term")
+    exact_one = (F.col("exact") == 1) & (F.col("_size") == 1)
+    exact_run = (F.col("exact") == 1) & (F.col("_size") > 1)
+    runs_at = F.array_sort(F.collect_list(F.when(exact_run, F.col("_pos"))))
     return (
         found.groupBy(id_col, "brand")
         .agg(
-            F.sum(F.col("exact") + F.col("fuzzy")).alias("mentions"),
+            (
+                F.sum(exact_one.cast("int") + F.col("fuzzy"))
+                + _apart(runs_at, F.max("_size"))
+            ).alias("mentions"),
             F.array_sort(
                 F.collect_list(F.when(F.col("fuzzy") == 1, F.struct("_pos", "term")))
             ).alias("_f"),
