@@ -318,26 +318,32 @@ def typosquat_known(spark, sf):
         ["pages"],
         [
             (
-                "raw",
-                """select page_id, case page_id % 7 when 0 then '2024-03-05' when 1 then '2024-03-05T01:02:03Z'
-            when 2 then '2024-03-05 01:02:03.123' when 3 then '03/05/2024' when 4 then 'unknown'
-            when 5 then null else '2023-12-31 23:59:59' end as raw from pages""",
-            )
+                "o_day",
+                """select page_id, strftime(d, '%Y-%m-%d') as iso, strftime(d, '%m/%d/%Y') as us
+                from (select page_id, date '2023-01-01' + cast(page_id * 13 % 700 as integer) as d from pages) p""",
+            ),
+            (
+                "o_raw",
+                """select page_id, case page_id % 7 when 0 then iso when 1 then iso || 'T01:02:03Z'
+                when 2 then iso || ' 01:02:03.123' when 3 then us when 4 then 'unknown'
+                when 5 then null else iso || ' 23:59:59' end as raw from o_day""",
+            ),
         ],
         f"""select page_id, raw, strftime(d, '%Y-%m-%d %H:%M:%S') as parsed,
-        cast(floor((epoch({AT}) - epoch(date_trunc('second', d))) / 86400) as bigint) as age_days
-        from (select page_id, raw, case page_id % 7 when 0 then timestamp '2024-03-05 00:00:00'
-          when 1 then timestamp '2024-03-05 01:02:03' when 2 then timestamp '2024-03-05 01:02:03'
-          when 3 then timestamp '2024-03-05 00:00:00' when 6 then timestamp '2023-12-31 23:59:59' end as d from raw) x""",
+        cast(floor((epoch({AT}) - epoch(d)) / 86400) as bigint) as age_days
+        from (select page_id, raw, coalesce(try_strptime(left(replace(raw, 'T', ' '), 19), '%Y-%m-%d %H:%M:%S'),
+          try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%m/%d/%Y')) as d from o_raw) x""",
     ),
 )
 def date_normalize(spark, sf):
-    layouts = [
-        "2024-03-05", "2024-03-05T01:02:03Z", "2024-03-05 01:02:03.123", "03/05/2024", "unknown",
-        None, "2023-12-31 23:59:59",
-    ]
-    raw = F.get(X.text_array([v or "" for v in layouts]), (F.col("page_id") % 7).cast("int"))
-    pages = fx.scan(spark, sf, "pages").select("page_id", F.nullif(raw, F.lit("")).alias("raw"))
+    day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") * 13 % 700).cast("int"))
+    iso, us = F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "MM/dd/yyyy")
+    layouts = F.array(
+        iso, F.concat(iso, F.lit("T01:02:03Z")), F.concat(iso, F.lit(" 01:02:03.123")), us,
+        F.lit("unknown"), F.lit(None).cast("string"), F.concat(iso, F.lit(" 23:59:59")),
+    )
+    raw = F.get(layouts, (F.col("page_id") % 7).cast("int"))
+    pages = fx.scan(spark, sf, "pages").select("page_id", raw.alias("raw"))
     parsed = pages.withColumn("d", X.first_date(F.array("raw", F.lit("1999-01-01"))))
     return parsed.select(
         "page_id",

@@ -389,9 +389,18 @@ def page_brand_mentions(spark, sf):
     "page_logos",
     with_tables(
         ["fx_pages"],
-        dom_steps("fx_pages"),
-        """select page_id, case when page_id % 12 = 4 and contains(html, '</body>')
-          then '/logo.png,Acme Logo' else '' end as logo_matches from fx_pages""",
+        [
+            *dom_steps("fx_pages"),
+            (
+                "o_tags",
+                """select page_id, list_filter(regexp_extract_all(dom, '<img [^>]*>'), lambda t:
+                regexp_matches(lower(concat_ws(' ', regexp_extract(t, 'src="([^"]*)"', 1), regexp_extract(t, 'alt="([^"]*)"', 1),
+                  regexp_extract(t, 'title="([^"]*)"', 1))), 'acme|logo'))[1:5] as tags from o_dom""",
+            ),
+        ],
+        """select page_id, array_to_string(list_transform(tags, lambda t: concat_ws(',', regexp_extract(t, 'src="([^"]*)"', 1),
+          case when contains(t, 'alt="') then regexp_extract(t, 'alt="([^"]*)"', 1) end,
+          case when contains(t, 'title="') then regexp_extract(t, 'title="([^"]*)"', 1) end)), ';') as logo_matches from o_tags""",
     ),
 )
 def page_logos(spark, sf):
