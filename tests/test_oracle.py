@@ -54,6 +54,13 @@ def test_page_rules_fire(spark):
     assert sum("Logo similar" in x for x in logos) >= 5
 
 
+def test_prefilter_arms_fire(spark):
+    found = QUERIES["prefilter"](spark, "/root/testdata/sf0.01").collect()
+    for reason in ("Irrelevant or educational content", "Irrelevant domain", "Whitelist match"):
+        assert sum(r["prefilter_reason"] == reason for r in found) >= 5
+    assert sum(r["is_legit_subdomain"] for r in found) >= 5
+
+
 def test_page_source_is_never_shuffled(spark):
     """Also where nothing can be broadcast, the HTML stays below the first exchange."""
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")

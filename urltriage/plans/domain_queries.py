@@ -546,18 +546,33 @@ O_PREFILTERED = (
 )
 
 
+# Addresses that are not judged further, and some without a scheme.
+_SCREENED_URL = """case page_id % 11 when 4 then concat('m.shop', cast(page_id as string), '.com/x')
+ when 5 then concat('https://www.reddit.com/r/p', cast(page_id as string))
+ when 6 then concat('https://login.apple.com/p', cast(page_id as string))
+ when 7 then concat('https://notx.com/p', cast(page_id as string)) else original_url end"""
+_SCREENED_TITLE = "case when page_id % 11 between 4 and 7 then 'Plain title' else title end"
+
+
 @query(
     "prefilter",
     with_tables(
         ["fx_sites"],
-        [*located("fx_sites"), O_PREFILTERED],
-        """select page_id, pre as prefilter_reason, pre is not null as filtered, false as is_legit_subdomain
+        [
+            ("o_screened", f"select * replace ({_SCREENED_URL} as original_url, {_SCREENED_TITLE} as title) from fx_sites"),
+            *located("o_screened"),
+            O_PREFILTERED,
+        ],
+        f"""select page_id, pre as prefilter_reason, pre is not null as filtered,
+        coalesce(pre = 'Whitelist match', true) and regexp_matches(original_url, '(?i){C.LEGIT_SUBDOMAIN_PATTERN}') as is_legit_subdomain
         from o_prefiltered""",
     ),
 )
 def prefilter(spark, sf):
-    sites = locate(fx.derive(spark, sf, "fx_sites"), fx.suffixes(spark))
-    return D.prefilter(sites).select(
+    sites = fx.derive(spark, sf, "fx_sites").withColumns(
+        {"original_url": F.expr(_SCREENED_URL), "title": F.expr(_SCREENED_TITLE)}
+    )
+    return D.prefilter(locate(sites, fx.suffixes(spark))).select(
         "page_id",
         "prefilter_reason",
         F.col("prefilter_reason").isNotNull().alias("filtered"),
