@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import functools
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,11 +25,17 @@ RECOMMENDED = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Settings for the jobs; on one machine also a scratch folder if none is set."""
-    for key, value in RECOMMENDED.items():
-        spark.conf.set(key, value)
+def prepare(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package where it lies; a scratch folder if none is set.
+
+    Only on one machine the folder is a local one. On a cluster the package is
+    installed or sent with the job, and ``spark.checkpoint.dir`` is set.
+    """
     context = spark.sparkContext
+    home = str(Path(__file__).resolve().parent.parent)
+    known = context.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, home)))
     if _shared_root(spark) is None and context.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="urltriage-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -35,6 +43,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """The recommended settings, for the jobs on search hits and pages."""
+    for key, value in RECOMMENDED.items():
+        spark.conf.set(key, value)
+    return prepare(spark)
+
+
 def local_session(
     cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", **settings: str
 ) -> SparkSession:
