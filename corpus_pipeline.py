@@ -12,6 +12,7 @@ from urltriage.llm.packing import pack
 from urltriage.llm.pii import redact
 from urltriage.llm.quality import drop_low_quality
 from urltriage.llm.simhash import drop_near_copies
+from urltriage.session import prepare
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +40,16 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizers.path("word_bpe_49k.json"))
 
 
+def _prepared(stage):
+    return lambda spark, docs, sf_dir: stage(prepare(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality", quality),
-    ("exact_dedup", exact),
-    ("near_dedup", near),
-    ("pii", private),
-    ("packing", packed),
+    ("quality", _prepared(quality)),
+    ("exact_dedup", _prepared(exact)),
+    ("near_dedup", _prepared(near)),
+    ("pii", _prepared(private)),
+    ("packing", _prepared(packed)),
 ]
 
 #: The classifier, the fingerprints and the packing can't be written in SQL.
@@ -53,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(prepare(spark), sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
