@@ -11,16 +11,15 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
-
 from tokenizers import Tokenizer
 
 #: Characters of a text that are looked at together.
 SLAB_CHARS = 1 << 20
 #: Words that are remembered at least; twice as many at most.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Longer words are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -43,6 +42,17 @@ def byte_symbols() -> list[str]:
 
 SYMBOLS = byte_symbols()
 _BYTE_OF = {s: b for b, s in enumerate(SYMBOLS)}
+_SYMBOL_TABLE = dict(enumerate(SYMBOLS))
+
+
+def as_symbols(text: str) -> str:
+    """The bytes of a text, each as its character."""
+    return text.encode().decode("latin-1").translate(_SYMBOL_TABLE)
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Memory(dict):
@@ -80,23 +90,23 @@ class Encoder:
         self.library.no_padding()
         self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Matches nowhere if there is no added token.
+        self.has_added = re.compile("|".join(map(re.escape, self.added)) or "(?!)").search
         self.words, self.pieces = _Memory(self._word), _Memory(self._piece)
 
     def whole(self, text: str) -> bytes:
         """Ids of any text by the library itself."""
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return as_bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     def model_ids(self, symbols: str) -> list[int]:
         """Ids of one unsplit piece, given as byte symbols."""
         return [t.id for t in self.model.tokenize(symbols)]
 
     def _piece(self, piece: str) -> bytes:
-        symbols = "".join(map(SYMBOLS.__getitem__, piece.encode()))
-        return np.array(self.model_ids(symbols), dtype="<u4").tobytes()
+        return as_bytes(self.model_ids(as_symbols(piece)))
 
     def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word) or any(a in word for a in self.added):
+        if not _PLAIN.fullmatch(word) or self.has_added(word):
             return self.whole(word)
         return b"".join(map(self.pieces.__getitem__, self.parts.findall(self.folded(word))))
 
