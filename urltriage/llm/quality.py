@@ -33,6 +33,8 @@ FEATURES = (
     "digits",
     "word_length",
 )
+#: Rows that are looked at for each row of the sample; enough to be sure to fill it.
+SPARE = 1.2
 #: Characters of a text whose words are counted together.
 SLAB_CHARS = 1 << 20
 
@@ -122,13 +124,15 @@ def fit(features: DataFrame, labels: DataFrame, label_col: str, prior: Prior) ->
     are null count for nothing. Without both classes, there are no weights.
     """
     labelled = labels.select(col("doc_id").alias("doc_id"), col(label_col).alias("label")).where("label is not null")
-    rows = (
-        features.join(labelled, "doc_id")
-        .select(*FEATURES, F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "text_sha256").alias("h"))
-        .orderBy("h", "label", *FEATURES)
-        .limit(prior.sample)
-        .collect()
+    known = features.join(labelled, "doc_id").select(
+        *FEATURES,
+        F.col("label").cast("int").alias("label"),
+        # Uniform from 0 to 1.
+        (F.xxhash64("doc_id", "text_sha256").cast("double") / 2.0**64 + 0.5).alias("h"),
     )
+    # Drops most rows where they are, so that tasks don't each send a whole sample.
+    share = SPARE * prior.sample / max(1, known.count())
+    rows = known.where(F.col("h") <= share).orderBy("h", "label", *FEATURES).limit(prior.sample).collect()
     y = np.array([r["label"] for r in rows], dtype=float)
     if len(rows) == 0 or y.min() == y.max():
         return [], 0.0
