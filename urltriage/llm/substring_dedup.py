@@ -139,7 +139,8 @@ def _shared(docs: DataFrame, id_col: str, text_col: str, rule: Passages) -> Data
         .drop("last_doc_id"),
         "shared-digests",
     )
-    shared = stored(found.join(firsts, "digest").drop("digest").distinct(), "shared-chunks")
+    # Repeated rows leave where the chunks of a document meet, without a further shuffle.
+    shared = found.join(firsts, "digest").drop("digest").repartition("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("no")
     begins = F.coalesce(F.col("no") - F.lag("no").over(order) != 1, F.lit(True)).cast("int")
     runs = shared.withColumn("begins", begins).withColumn(
