@@ -105,3 +105,20 @@ def test_documents(spark, prose):
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == set(least.values())
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark, prose):
+    base, other = prose(3, 300), prose(5, 300)
+    words = base.split()
+    near = " ".join([*words[:150], "changed", *words[151:]])
+    assert (fingerprint(base) ^ fingerprint(near)).bit_count() <= 4
+    rows = [
+        *[(None, prose(20 + i, 200)) for i in range(3)],  # null ids without a copy
+        (None, prose(30, 200)), (None, prose(30, 200)),  # copies without any id
+        (None, base), (1, base), (2, near), (2, other),  # 2 is a copy and the only one of another text
+        (7, prose(40, 200)), (7, prose(40, 200)), (7, prose(41, 200)),
+    ]
+    assert len(set(brute_components([brute_fingerprint(t) for _, t in rows]))) == 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [*[(None, prose(20 + i, 200)) for i in range(3)], (None, prose(30, 200)), (1, base), (2, other), (7, prose(40, 200)), (7, prose(41, 200))]
+    assert sorted(map(tuple, drop_near_copies(docs).collect()), key=str) == sorted(want, key=str)

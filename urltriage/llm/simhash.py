@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urltriage.llm.common import col, stored
+from urltriage.llm.common import col, fresh, stored
 from urltriage.llm.components import components
 
 SEED = 42
@@ -83,23 +83,34 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, digest: bool = False
 ) -> DataFrame:
     """``doc_id``, ``fp`` (64 bits as a signed long) of every row and whole text.
 
+    ``digest`` adds the SHA-256 of the text; a null text has that of the empty one.
+
     A-Z become lower case; words are separated by ASCII white space; shingles are
     ``width`` words joined by a space, repeats included; a text with fewer words is
     one shingle; one without words (or null) has fingerprint zero.
     """
     source = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    fields = source.select("doc_id", F.lit(0).cast("long").alias("fp")).schema
+    more = ["digest"] if digest else []
+    if digest:
+        source = source.withColumn("digest", _digest(F.col("text")))
+    fields = source.select("doc_id", F.lit(0).cast("long").alias("fp"), *more).schema
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
             fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), fps, *batch.columns[2:]], names=["doc_id", "fp", *more]
+            )
 
     return source.mapInArrow(run, fields)
 
@@ -259,6 +270,22 @@ def links(classes: DataFrame, max_bits: int = 4, cell_block: int = CELL_BLOCK) -
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _reached(fps: DataFrame, first: Column, max_bits: int, cell_block: int) -> DataFrame:
+    """``fp``, ``first``: for each distinct fingerprint the smallest ``first`` of its component."""
+    classes = stored(fps.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-classes")
+    edges = stored(links(classes, max_bits, cell_block).distinct(), "fingerprint-links")
+    roots = stored(components(edges), "fingerprint-roots")
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    linked = rooted.join(least, "root").select("fp", "least", F.lit(True).alias("linked"))
+    return stored(
+        classes.join(linked, "fp", "left").select(
+            "fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("first")
+        ),
+        "fingerprint-components",
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -276,31 +303,37 @@ def near_duplicates(
     Repeated rows stay. An empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-classes")
-    edges = stored(links(classes, max_bits, cell_block).distinct(), "fingerprint-links")
-    roots = stored(components(edges), "fingerprint-roots")
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = rooted.join(least, "root").select("fp", "least_id", F.lit(True).alias("linked"))
-    reached = stored(
-        classes.join(linked, "fp", "left").select(
-            "fp", F.when(F.col("linked"), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id")
-        ),
-        "fingerprint-components",
-    )
+    reached = _reached(fps, F.col("doc_id"), max_bits, cell_block)
     return fps.join(reached, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id")
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id.
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_bits: int = 4,
+    width: int = 4,
+    cell_block: int = CELL_BLOCK,
+) -> DataFrame:
+    """``docs`` with exactly one row of each component: the one with the smallest id.
 
-    Of several rows with that id one stays; ids should be unique and not null.
+    A null id comes after all others; of several texts with that id the one with the
+    smallest digest stays, and of rows that share both, any one.
     """
-    reached = near_duplicates(docs, id_col, text_col, **options)
-    kept = stored(
-        reached.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(),
-        "kept-ids",
+    fps = stored(fingerprints(docs, id_col, text_col, width, digest=True), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")
+    reached = _reached(fps, first, max_bits, cell_block)
+    # Equal texts have equal fingerprints, so an id and a digest belong to one component only.
+    kept = stored(reached.select("first.doc_id", "first.digest").distinct(), "kept-rows")
+    digest, kept_id, kept_digest = fresh(docs.columns, "digest", "kept_id", "kept_digest")
+    out = docs.withColumn(digest, _digest(col(text_col))).join(
+        kept.toDF(kept_id, kept_digest),
+        col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)),
+        "left_semi",
     )
-    return docs.join(kept, id_col, "left_semi")
+    # Rows that share both id and text all pass the join above.
+    if not fps.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([c for c in out.columns if c.lower() in (id_col.lower(), digest.lower())])
+    return out.drop(digest)
