@@ -79,3 +79,35 @@ def test_odd_rows(spark):
     assert repeated_passages(docs.limit(0)).count() == 0
     more = docs.union(spark.createDataFrame([(9, t)], "doc_id long, text string"))
     assert {r["doc_id"] for r in repeated_passages(more).collect()} == {1, 9}
+
+
+def unspaced(rng, kind, n):
+    if kind == "base64":
+        return "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    first, size = (0x4E00, 3000) if kind != "thai" else (0x0E01, 46)
+    signs = [chr(first + rng.randrange(size)) for _ in range(n)]
+    if kind == "wide space":
+        signs[5::12] = "\u3000" * len(signs[5::12])
+    return "".join(signs)
+
+
+def test_text_without_white_space(spark):
+    rng, rows, clean, whole = random.Random(5), [], [], []
+    for kind in ("chinese", "thai", "wide space", "base64"):
+        for _ in range(10):
+            passage = unspaced(rng, kind, 400)
+            rows += [unspaced(rng, kind, rng.randint(50, 300)) + passage + unspaced(rng, kind, 90) for _ in range(2)]
+        whole += [unspaced(rng, kind, 500)] * 2
+        clean += [unspaced(rng, kind, 1000) for _ in range(10)]
+    texts = [*rows, *whole, *clean]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeated_passages(docs).collect()
+    assert {r["doc_id"] for r in got} == set(range(len(rows) + len(whole)))
+    for r in got:
+        assert texts[r["doc_id"]][r["start"] + 20 : r["stop"] - 20] in texts[r["doc_id"] ^ 1] and r["n_words"] >= 24
+    left = {r["doc_id"]: r["text"] for r in drop_repeats(docs).collect()}
+    assert all(left[i] == t for i, t in enumerate(texts) if i >= len(rows) + len(whole))
+    # A sign at an edge may be shared by chance.
+    assert all(len(left[i]) > len(t) - 20 for i, t in enumerate(texts) if i % 2 == 0)
+    assert all(len(left[i]) < len(texts[i]) - 250 for i in range(1, len(rows), 2))
+    assert not any(left[i] for i in range(len(rows) + 1, len(rows) + len(whole), 2))

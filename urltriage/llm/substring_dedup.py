@@ -5,6 +5,9 @@ nearby content only and are the same again a few words after an insertion. Chunk
 with the same digest in several documents are shared. Consecutive shared chunks of a
 document form a passage; a passage counts if it is long enough, and not only through
 tiny chunks that many documents have by chance.
+
+Where there is no ASCII white space for long (Chinese, Japanese, Thai, encoded data),
+a number of bytes stands for a word, both for the cuts and for the length of a passage.
 """
 
 from __future__ import annotations
@@ -22,13 +25,17 @@ from urltriage.llm.common import col, fresh, stored
 #: Bytes that are hashed together.
 SLAB_BYTES = 1 << 22
 GEAR_BYTES = 16
+#: Bytes without white space after which text counts as unspaced.
+UNSPACED_BYTES = 32
+#: Bytes of a character by its first byte; none for the others.
+_WIDTH = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 16, dtype=np.uint32)
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], dtype=np.uint32)
 _CHUNKS = "digest long, doc_id {id}, no int, start int, stop int, words int"
 
 
 @dataclass(frozen=True)
 class Passages:
-    #: Mean length of a chunk in words; text without words is cut every ``bytes`` bytes.
+    #: Mean length of a chunk in words; long words are cut every ``bytes`` bytes, too.
     words: int = 4
     bytes: int = 512
     #: Least words of the chunks inside a passage. The ends of a repeated text, up to
@@ -38,6 +45,8 @@ class Passages:
     chance_words: int = 2
     #: Least words of a passage beyond those.
     least_beyond: int = 8
+    #: Bytes of unspaced text that stand for a word.
+    word_bytes: int = 6
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
@@ -51,8 +60,35 @@ def _gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(data: np.ndarray, rule: Passages) -> tuple[np.ndarray, np.ndarray]:
+class Unspaced:
+    """Stretches of ``data`` whose texts have no white space in the ``UNSPACED_BYTES`` before."""
+
+    def __init__(self, data: np.ndarray, begins: np.ndarray):
+        # A text begins as after white space; the end of the data closes the last stretch.
+        breaks = np.unique(np.concatenate((np.flatnonzero(data <= 32), begins - 1, [len(data)])))
+        long = np.flatnonzero(np.diff(breaks) > UNSPACED_BYTES + 1)
+        self.start, self.stop = breaks[long] + 1 + UNSPACED_BYTES, breaks[long + 1]
+        self.before = np.concatenate(([0], np.cumsum(self.stop - self.start)))
+
+    def inside(self, at: np.ndarray) -> np.ndarray:
+        """Which positions lie in a stretch."""
+        k = np.searchsorted(self.start, at, side="right")
+        return at < np.concatenate(([0], self.stop))[k]
+
+    def count(self, at: np.ndarray) -> np.ndarray:
+        """Bytes of stretches before each position."""
+        if not len(self.start):
+            return np.zeros(len(at), dtype=np.int64)
+        k = np.searchsorted(self.start, at, side="right")
+        last = np.maximum(k - 1, 0)
+        return self.before[k] - np.where(k > 0, np.maximum(0, self.stop[last] - at), 0)
+
+
+def cut_points(
+    data: np.ndarray, rule: Passages, unspaced: Unspaced | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Positions before which ``data`` (UTF-8 bytes) is cut, and those at which words begin."""
+    unspaced = unspaced or Unspaced(data, np.zeros(1, dtype=np.int64))
     cuts, starts = [], []
     for begin in range(0, len(data), SLAB_BYTES):
         low = max(0, begin - GEAR_BYTES)
@@ -62,6 +98,9 @@ def cut_points(data: np.ndarray, rule: Passages) -> tuple[np.ndarray, np.ndarray
         word = (before <= 32) & (after > 32)
         cut = word & (h < np.uint32(2**32 // rule.words))
         cut |= (h < np.uint32(2**32 // rule.bytes)) & ((after & 0xC0) != 0x80)
+        # As many cuts for the bytes of a word as elsewhere for a word; only before whole characters.
+        maybe = np.flatnonzero(h < np.uint32(2**32 // (rule.words * rule.word_bytes)) * _WIDTH[after])
+        cut[maybe[unspaced.inside(maybe + low + 1)]] = True
         own = max(0, begin - low - 1)
         cuts.append(np.flatnonzero(cut[own:]) + own + low + 1)
         starts.append(np.flatnonzero(word[own:]) + own + low + 1)
@@ -77,7 +116,8 @@ def _chunk_group(texts: list[bytes], rule: Passages):
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    cuts, words = cut_points(data, rule)
+    unspaced = Unspaced(data, begins)
+    cuts, words = cut_points(data, rule, unspaced)
     # The hash of the first bytes of a text would reach into the one before it.
     of = np.searchsorted(ends, cuts, side="right")
     cuts = cuts[cuts - begins[of] >= GEAR_BYTES]
@@ -89,6 +129,10 @@ def _chunk_group(texts: list[bytes], rule: Passages):
     no = np.arange(len(first)) - np.repeat(heads, np.diff(np.append(heads, len(first))))
     words = np.unique(np.concatenate((words, full)))
     n_words = np.searchsorted(words, last) - np.searchsorted(words, first)
+    # Counted from the beginning of the text, so that no rest is lost at a chunk's end.
+    origin = unspaced.count(begins)[text]
+    n_words += (unspaced.count(last) - origin) // rule.word_bytes
+    n_words -= (unspaced.count(first) - origin) // rule.word_bytes
     characters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     origin = characters[begins[text]]
     digest = np.array(
@@ -164,6 +208,8 @@ def repeated_passages(
     One row per passage: ``doc_id``, ``start``, ``stop`` (characters, end exclusive),
     ``n_words``, ``removed_words`` (of chunks that a document with a smaller id
     keeps), ``first_doc_ids`` (smallest ids of documents with its chunks, ascending).
+    Words are separated by ASCII white space; after ``UNSPACED_BYTES`` bytes without
+    any, each ``rule.word_bytes`` further bytes count as a word.
     Documents are told apart by id: repeated rows count once, rows with a null id
     take no part. Null and empty texts have no passage; what a text repeats within
     itself doesn't count. An empty table gives an empty result. Other columns are
