@@ -32,3 +32,8 @@ def test_documents(spark):
     got = {r["n_tokens"]: r["n_docs"] for r in token_counts(docs, PATH).collect()}
     assert got[0] == 2 and got[2] == 2 and sum(got.values()) == 5
     assert token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_groups_are_refused():
+    with pytest.raises(TypeError):
+        length_histogram(None, group_cols=("lang",))

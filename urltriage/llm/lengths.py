@@ -31,7 +31,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Da
     return source.mapInArrow(run, "n_tokens long")
 
 
-def length_histogram(lengths: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+def length_histogram(lengths: DataFrame) -> DataFrame:
     """One row for each length that occurs, with sums over it, the shorter and the longer ones.
 
     ``lengths`` has ``n_tokens``. Columns: ``n_tokens``; ``n_docs`` of that length;
