@@ -7,17 +7,20 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from urltriage.llm.align import align_documents
 from urltriage.llm.bpe import encode_digests
 from urltriage.llm.common import table
 from urltriage.llm.exact_dedup import exact_dedup
 from urltriage.llm.language import identify
 from urltriage.llm.lengths import token_counts
 from urltriage.llm.packing import pack
+from urltriage.llm.piece import piece_digests
 from urltriage.llm.pii import find_pii
 from urltriage.llm.quality import score_quality
 from urltriage.llm.simhash import near_duplicates
 from urltriage.llm.substring_dedup import repeated_passages
 from urltriage.llm.topk import top_k
+from urltriage.llm.trie import conversation_trie
 from urltriage.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +123,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths with totals for every limit."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_conversation_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of rebuilt conversations by adaptive radix trees."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_sentencepiece")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded and decoded by a SentencePiece BPE model, by backtracking."""
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned by whitespace anchors, with corpus-wide link counts."""
+    return align_documents(
+        table(spark, sf_dir, "documents"),
+        tokenizers.path("byte_bpe_50k.json"),
+        tokenizers.path("piece_bpe_32k.model"),
+    )
