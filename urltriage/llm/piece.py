@@ -76,6 +76,8 @@ class PieceBpe:
         self.compatible = functools.lru_cache(maxsize=1 << 20)(self._compatible)
         self.parts: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
+        self.bytes_of = [self.token_bytes(i) for i in range(len(self.pieces))]
+        self.decimal = [str(i) for i in range(len(self.pieces))]
 
     # -- the model's rule ---------------------------------------------------
 
@@ -130,6 +132,8 @@ class PieceBpe:
         return tokens
 
     def _part(self, part: str) -> list[int]:
+        if self.chars.issuperset(part):
+            return [self.id_of[p] for p in self.backtrack(part)]
         out: list[int] = []
         start = 0
         for k, ch in enumerate(part):
@@ -161,8 +165,10 @@ class PieceBpe:
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; null and empty give none."""
         out: list[int] = []
+        known = self.parts.get
         for part in _RUNS.findall(self.escaped(text or "")):
-            out.extend(self.part(part))
+            ids = known(part)
+            out.extend(self.part(part) if ids is None else ids)
         return out
 
     # -- decoding -------------------------------------------------------------
@@ -180,7 +186,8 @@ class PieceBpe:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as ``decode(ids)`` of the library gives it."""
-        data = b"".join(map(self.token_bytes, ids))
+        table = self.bytes_of
+        data = b"".join([table[i] for i in ids])
         if self.dummy_prefix and ids and self.kinds[ids[0]] == NORMAL and self.pieces[ids[0]].startswith(SPACE):
             data = data[1:]
         return data.decode("utf-8", "replace")
@@ -196,7 +203,7 @@ def digests(ids: list[int], coder: PieceBpe) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded text."""
     return (
         len(ids),
-        hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+        hashlib.sha256(",".join([coder.decimal[i] for i in ids]).encode()).hexdigest(),
         hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest(),
     )
 
