@@ -69,6 +69,15 @@ def test_chunks_cover_the_text(spark, monkeypatch):
         assert all(a[3] == b[2] for a, b in zip(own, own[1:], strict=False))
 
 
+def test_digests_come_without_positions(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(1, words(rng, 90)), (2, "中文" * 200), (3, "é a" * 40)], "doc_id long, text string")
+    whole = chunks(docs, "doc_id", "text", Passages())
+    lean = chunks(docs, "doc_id", "text", Passages(), positions=False)
+    assert lean.columns == ["digest", "doc_id"]
+    assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, whole.select("digest", "doc_id").collect()))
+
+
 def test_odd_rows(spark):
     rng = random.Random(4)
     t = words(rng, 80)

@@ -30,7 +30,8 @@ UNSPACED_BYTES = 32
 #: Bytes of a character by its first byte; none for the others.
 _WIDTH = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 16, dtype=np.uint32)
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], dtype=np.uint32)
-_CHUNKS = "digest long, doc_id {id}, no int, start int, stop int, words int"
+_DIGESTS = "digest long, doc_id {id}"
+_CHUNKS = _DIGESTS + ", no int, start int, stop int, words int"
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,10 @@ class Unspaced:
 
     def __init__(self, data: np.ndarray, begins: np.ndarray):
         # A text begins as after white space; the end of the data closes the last stretch.
-        breaks = np.unique(np.concatenate((np.flatnonzero(data <= 32), begins - 1, [len(data)])))
+        white = data <= 32
+        white[begins[begins > 0] - 1] = True
+        head = [-1] if (begins == 0).any() else []
+        breaks = np.concatenate((np.array(head, dtype=np.int64), np.flatnonzero(white), [len(data)]))
         long = np.flatnonzero(np.diff(breaks) > UNSPACED_BYTES + 1)
         self.start, self.stop = breaks[long] + 1 + UNSPACED_BYTES, breaks[long + 1]
         self.before = np.concatenate(([0], np.cumsum(self.stop - self.start)))
@@ -109,8 +113,19 @@ def cut_points(
     return np.concatenate(cuts), np.concatenate(starts)
 
 
-def _chunk_group(texts: list[bytes], rule: Passages):
-    """Arrays (text, no, start, stop, words, digest) of the chunks of some texts, in characters."""
+def _marked(size: int, *positions: np.ndarray) -> np.ndarray:
+    """The distinct positions below ``size``, ascending, without sorting them."""
+    mark = np.zeros(size, dtype=bool)
+    for p in positions:
+        mark[p] = True
+    return np.flatnonzero(mark)
+
+
+def _chunk_group(texts: list[bytes], rule: Passages, positions: bool = True):
+    """Arrays (text, digest, no, start, stop, words) of the chunks of some texts, in characters.
+
+    Without ``positions``, only the first two.
+    """
     line = b"".join(texts)
     data = np.frombuffer(line, dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -122,28 +137,37 @@ def _chunk_group(texts: list[bytes], rule: Passages):
     of = np.searchsorted(ends, cuts, side="right")
     cuts = cuts[cuts - begins[of] >= GEAR_BYTES]
     full = begins[sizes > 0]
-    first = np.unique(np.concatenate((full, cuts)))
+    first = _marked(len(data), full, cuts)
     last = np.append(first[1:], len(data))
     text = np.searchsorted(ends, first, side="right")
+    digest = np.array(
+        [xxhash.xxh3_64_intdigest(line[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)],
+        dtype=np.uint64,
+    ).view(np.int64)
+    if not positions:
+        return text, digest
     heads = np.searchsorted(first, full)
-    no = np.arange(len(first)) - np.repeat(heads, np.diff(np.append(heads, len(first))))
-    words = np.unique(np.concatenate((words, full)))
+    sizes_in_chunks = np.diff(np.append(heads, len(first)))
+    no = np.arange(len(first)) - np.repeat(heads, sizes_in_chunks)
+    words = _marked(len(data), words, full)
     n_words = np.searchsorted(words, last) - np.searchsorted(words, first)
     # Counted from the beginning of the text, so that no rest is lost at a chunk's end.
     origin = unspaced.count(begins)[text]
     n_words += (unspaced.count(last) - origin) // rule.word_bytes
     n_words -= (unspaced.count(first) - origin) // rule.word_bytes
-    characters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    origin = characters[begins[text]]
-    digest = np.array(
-        [xxhash.xxh3_64_intdigest(line[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)],
-        dtype=np.uint64,
-    ).view(np.int64)
-    return text, no, characters[first] - origin, characters[last] - origin, n_words, digest
+    inside = np.add.reduceat((data & 0xC0) != 0x80, first, dtype=np.int64)
+    characters = np.concatenate(([0], np.cumsum(inside)))
+    origin = np.repeat(characters[heads], sizes_in_chunks)
+    return text, digest, no, characters[:-1] - origin, characters[1:] - origin, n_words
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, rule: Passages) -> DataFrame:
-    """``digest``, ``doc_id``, ``no``, ``start``, ``stop`` (characters), ``words`` of all chunks."""
+def chunks(
+    docs: DataFrame, id_col: str, text_col: str, rule: Passages, positions: bool = True
+) -> DataFrame:
+    """``digest``, ``doc_id``, ``no``, ``start``, ``stop`` (characters), ``words`` of all chunks.
+
+    Without ``positions``, only the first two columns.
+    """
     source = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).where(
         "doc_id is not null and text <> ''"
     )
@@ -159,25 +183,26 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, rule: Passages) -> DataF
                     group.append(texts[end].encode())
                     size += len(group[-1])
                     end += 1
-                text, no, start, stop, words, digest = _chunk_group(group, rule)
+                text, digest, *numbers = _chunk_group(group, rule, positions)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(digest),
                         batch.column(0).take(pa.array(text + begin)),
-                        *(pa.array(a.astype(np.int32)) for a in (no, start, stop, words)),
+                        *(pa.array(a.astype(np.int32)) for a in numbers),
                     ],
-                    ["digest", "doc_id", "no", "start", "stop", "words"],
+                    ["digest", "doc_id", "no", "start", "stop", "words"][: 2 + len(numbers)],
                 )
                 begin = end
 
-    return source.mapInArrow(run, _CHUNKS.format(id=kind))
+    return source.mapInArrow(run, (_CHUNKS if positions else _DIGESTS).format(id=kind))
 
 
 def _shared(docs: DataFrame, id_col: str, text_col: str, rule: Passages) -> DataFrame:
     """Chunks inside passages, with the number of the passage and the first document of the chunk."""
     found = chunks(docs, id_col, text_col, rule)
     firsts = stored(
-        found.groupBy("digest")
+        chunks(docs, id_col, text_col, rule, positions=False)
+        .groupBy("digest")
         .agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
         .where("first_doc_id <> last_doc_id")
         .drop("last_doc_id"),
