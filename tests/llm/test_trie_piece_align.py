@@ -50,6 +50,27 @@ def test_piece_digests_in_spark(spark):
     assert piece_digests(docs.limit(0), PIECE).count() == 0
 
 
+def test_parts_are_shared_and_bounded(monkeypatch):
+    mine, library = PieceBpe(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert mine.split("▁▁word,▁word.7日") == ["▁▁word", ",", "▁word", ".", "7", "日"]
+    monkeypatch.setattr("urltriage.llm.piece.REMEMBERED", 20)
+    monkeypatch.setattr("urltriage.llm.piece.PAIRS", 50)
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices("aerionst é,.7\n", k=rng.randint(0, 60)))
+        ids = library.encode(text)
+        assert mine.digests(text) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))), repr(text)
+        assert mine.encode(text) == ids
+        assert len(mine.digested) <= 20 and len(mine.digested.older) <= 80 and len(mine.parts) <= 20
+
+
+def test_pair_checks_equal_merging_anew():
+    mine, rng = PieceBpe(PIECE), random.Random(6)
+    pieces = [p for p in rng.sample(sorted(mine.score), 1500) if mine.merged(list(p)) == [p]]
+    for left, right in zip(pieces, pieces[1:], strict=False):
+        assert mine.compatible[left][right] == (mine.merged(list(left + right)) == [left, right])
+
+
 # -- op13 ---------------------------------------------------------------------
 
 
