@@ -113,6 +113,32 @@ def test_windows_equal_the_whole_alignment():
         assert tool.document(text) == brute_alignment(text, tool), repr(text)
 
 
+def test_remembered_windows_are_bounded(monkeypatch):
+    monkeypatch.setattr("urltriage.llm.align.REMEMBERED", 50)
+    rng, tool = random.Random(8), Aligner(BYTE, PIECE)
+    signs = "ab1 \n',.st(é" + "\t\xa0\u3000\x1c日"
+    texts = ["".join(rng.choices(signs[: rng.choice([5, 12, 17])], k=rng.randint(0, 40))) for _ in range(600)]
+    texts += ["don't 'tis, x''s a1b2", "<|endoftext|> a<|endoftext|>", " ", "\n", "x" * 3000]
+    for text in texts:
+        assert tool.document(text) == brute_alignment(text, tool), repr(text)
+        assert len(tool.windows) <= 50 and len(tool.older) <= 50 + 40
+    assert not any(len(w) > 64 for w in tool.windows)
+
+
+def test_windows_are_shared_between_words_and_marks():
+    tool = Aligner(BYTE, PIECE)
+    tool.document("word, word. (word")
+    assert set(tool.windows) == {" word", ",", ".", " (", "word"}
+
+
+def test_large_pair_table_is_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta, beta"), (2, "beta can't"), (3, None)], "doc_id long, text string")
+    few = sorted(map(tuple, align_documents(docs, BYTE, PIECE).collect()))
+    monkeypatch.setattr("urltriage.llm.align.BROADCAST_PAIRS", 1)
+    monkeypatch.setattr("urltriage.llm.align.BATCH_LINKS", 1)
+    assert sorted(map(tuple, align_documents(docs, BYTE, PIECE).collect())) == few
+
+
 def test_alignment_counts_in_spark(spark):
     rng = random.Random(11)
     words = ["alpha", "beta", "gam", "ma", "δέλτα", "can't", "7", "x"]

@@ -5,10 +5,15 @@ library, encodes a space and the text; B, a SentencePiece BPE, encodes the text
 and adds that space itself. Each token has bytes: A's vocabulary entry decoded
 byte by byte, B's piece in UTF-8 with U+2581 as a space and ``<0xHH>`` as the byte.
 
-Anchors: byte offsets where an A token and a B token both end and the next A token
-and the next B token both begin with a space, checked on the bytes. They cut a
-document into windows of token ids. A window's alignment depends only on its two
-id tuples, so each pair of tuples is aligned once per task and remembered:
+Anchors: byte offsets where an A token and a B token both end and the next ones
+begin with white space. They cut a document into windows. Between a sign that is no
+white space and a space (or a line feed, if no piece holds one) neither tokenizer
+joins tokens, so the ids of a text are those of its windows one after another. In
+plain Latin texts neither does between letters, digits and marks (checked on the
+pieces), and windows are cut there, too. Each distinct window is encoded and aligned once per task and remembered. The bytes of a
+window's tokens are compared with the window. A text in which one differs, or with
+U+2581, is encoded whole by the libraries, compared, and cut where the tokens meet.
+Within a window:
 
 * groups: the window is cut again wherever an A and a B token end together;
 * links: every A and B token in it whose byte ranges overlap.
@@ -21,51 +26,79 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
+import struct
 from collections import Counter
+from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from urltriage.llm.common import col, fresh, stored
+from urltriage.llm.piece import SPACE
 from urltriage.llm.piece import model as piece_model
-from urltriage.llm.tokens import SYMBOLS
+from urltriage.llm.tokens import _LATIN, _PLAIN, SYMBOLS, ByteBpe, as_symbols
 
-#: Window alignments remembered per task, at least; twice as many at most.
-REMEMBERED = 200_000
-_BYTE_OF = {s: b for b, s in enumerate(SYMBOLS)}
+#: Windows remembered per task, at least; twice as many at most.
+REMEMBERED = 150_000
+#: Longer windows are not remembered.
+LONGEST_REMEMBERED = 64
+#: Rows of a pair table that is sent to all tasks; a larger one is joined by shuffle.
+BROADCAST_PAIRS = 500_000
+_LOW = (1 << 32) - 1
+_NO_LINKS = np.zeros(0, dtype=np.int64)
+_BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
+# What begins with an apostrophe can be a contraction, and stays whole.
+_RUNS = re.compile(f"[ \n]*(?:[{_LATIN}]+|[0-9]+|'[^ \n]*|[^ \n{_LATIN}0-9]+)|[ \n]+")
+_LETTER = re.compile(f"[{_LATIN}]")
+
+
+def _kind(sign: str) -> str:
+    """Letter, number, mark or something else, as the runs of plain texts have it."""
+    if _LETTER.match(sign):
+        return "L"
+    return "N" if sign in "0123456789" else "M" if "!" <= sign <= "~" else "-"
+
+
+def _ascii_symbols(part: str) -> str:
+    return part.replace(" ", SYMBOLS[32]).replace("\n", SYMBOLS[10])
 
 
 class Aligner:
     """Tokens of both tokenizers for a text, and the alignment of their windows."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str):
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        size = self.a.get_vocab_size(with_added_tokens=True)
-        self.a_bytes = [b""] * size
-        for entry, i in self.a.get_vocab(with_added_tokens=True).items():
-            if all(ch in _BYTE_OF for ch in entry):
-                self.a_bytes[i] = bytes(_BYTE_OF[ch] for ch in entry)
-            else:  # an added token stands for its own text
-                self.a_bytes[i] = entry.encode()
+        self.a = ByteBpe(byte_bpe)
+        self.a.library.encode_special_tokens = True
+        self.a_bytes = self.a.token_bytes
         self.b = piece_model(piece_bpe)
-        self.b_bytes = [self.b.token_bytes(i) for i in range(len(self.b.pieces))]
+        self.b_bytes = self.b.bytes_of
+        self.piece_path = piece_bpe
+        added = self.a.library.get_added_tokens_decoder().values()
+        # Tokens that are not special are found in texts all the same.
+        self.plain = self.b.dummy_prefix and all(t.special for t in added)
+        self.lines = not any("\n" in p for p in self.b.score)
+        beside = {_kind(p[k]) + _kind(p[k + 1]) for p in self.b.score for k in range(len(p) - 1)}
+        self.runs = beside.isdisjoint(("LN", "NL", "LM", "ML", "NM", "MN"))
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.decimal = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
+        self.windows: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
+
+    @functools.cached_property
+    def b_library(self):
         import sentencepiece
 
-        self.b_library = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
-        self.windows: dict[tuple, tuple] = {}
-        self.older: dict[tuple, tuple] = {}
+        return sentencepiece.SentencePieceProcessor(model_file=self.piece_path)
 
     def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
         """A's and B's ids, or none if the text is null, empty or either side's bytes differ."""
         if not text:
             return [], []
         expected = (" " + text).encode("utf-8", "surrogatepass")
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        a = self.a.library.encode(" " + text, add_special_tokens=False).ids
         b = self.b_library.encode(text)
         if b"".join(self.a_bytes[i] for i in a) != expected:
             return [], []
@@ -92,69 +125,100 @@ class Aligner:
         windows.append((tuple(a[start_a:]), tuple(b[start_b:])))
         return windows
 
-    def _align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[list, Counter]:
-        """Groups and links of one window; its A and B tokens cover the same bytes."""
-        a_ends = _ends([len(self.a_bytes[t]) for t in a])
-        b_ends = _ends([len(self.b_bytes[t]) for t in b])
-        shared = set(a_ends) & set(b_ends)
-        groups_a, groups_b = _grouped(a, a_ends, shared), _grouped(b, b_ends, shared)
-        links: Counter = Counter()
-        j = 0
-        for k, token in enumerate(a):
-            start, end = (a_ends[k - 1] if k else 0), a_ends[k]
-            while j < len(b) and b_ends[j] <= start:
+    def _align(self, a: Sequence[int], b: Sequence[int]) -> tuple[int, str, bytes]:
+        """Token counts (A's above B's 32 bits), groups and links of tokens over the same bytes.
+
+        Groups as ``a1,a2|b1;a3|b2,b3``; a link is A's id above B's 32 bits.
+        """
+        a_size, b_size, decimal = self.a_size, self.b_size, self.decimal
+        groups, links = [], []
+        x, y = a[0], b[0]
+        i = j = 1
+        ea, eb = a_size[x], b_size[y]
+        group_a, group_b = decimal[x], decimal[y]
+        while True:
+            # Tokens x and y overlap; the one that ends first makes room for the next.
+            links.append(x << 32 | y)
+            if ea == eb:
+                groups.append(f"{group_a}|{group_b}")
+                if i == len(a):
+                    break
+                x, y = a[i], b[j]
+                i, j = i + 1, j + 1
+                ea, eb = ea + a_size[x], eb + b_size[y]
+                group_a, group_b = decimal[x], decimal[y]
+            elif ea < eb:
+                x = a[i]
+                i += 1
+                ea += a_size[x]
+                group_a = f"{group_a},{decimal[x]}"
+            else:
+                y = b[j]
                 j += 1
-            m = j
-            # B token m begins before this A token ends: they overlap.
-            while m < len(b) and (b_ends[m - 1] if m else 0) < end:
-                links[(token, b[m])] += 1
-                m += 1
-        return list(zip(groups_a, groups_b, strict=True)), links
-
-    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[list, Counter]:
-        key = (a, b)
-        found = self.windows.get(key)
-        if found is None:
-            found = self.older.get(key) or self._align(a, b)
-            if len(self.windows) >= REMEMBERED:
-                self.older, self.windows = self.windows, {}
-            self.windows[key] = found
+                eb += b_size[y]
+                group_b = f"{group_b},{decimal[y]}"
+        return len(a) << 32 | len(b), ";".join(groups), struct.pack(f"<{len(links)}q", *links)
+
+    def _window(self, window: str) -> tuple[int, str, bytes] | None:
+        """The alignment of a window of a text with its space; none if its bytes differ."""
+        if _PLAIN.fullmatch(window):
+            parts = self.a.parts.findall(window)
+            a = [i for p in parts for i in self.a.model_ids(_ascii_symbols(p) if p.isascii() else as_symbols(p))]
+        else:
+            a = self.a.library.encode(window, add_special_tokens=False).ids
+        b = [i for p in self.b.split(window.replace(" ", SPACE)) for i in self.b._part(p)]
+        expected = window.encode("utf-8", "surrogatepass")
+        if b"".join([self.a_bytes[i] for i in a]) != expected:
+            return None
+        if b"".join([self.b_bytes[i] for i in b]) != expected:
+            return None
+        return self._align(a, b)
+
+    def window(self, window: str) -> tuple[int, str, bytes] | None:
+        found = self.older[window] if window in self.older else self._window(window)
+        if len(window) <= LONGEST_REMEMBERED:
+            self.windows[window] = found
         return found
 
+    def trim(self) -> None:
+        """Bounds what is remembered, between texts."""
+        if len(self.windows) > REMEMBERED:
+            self.older, self.windows = self.windows, {}
+            self.b.compatible.trim()
+
+    def split(self, text: str) -> list[str]:
+        """Windows of a text with its space."""
+        if not self.lines or self.a.unusual.search(text):
+            return _BETWEEN_WORDS.split(text)
+        if self.runs and _PLAIN.fullmatch(text):
+            return _RUNS.findall(text)
+        return self.a.split(text)
+
+    def measure(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups, groups_sha256, the distinct links of one text and their numbers."""
+        if not text:
+            return 0, 0, 0, "", _NO_LINKS, _NO_LINKS
+        found = None
+        if self.plain and SPACE not in text:
+            known = self.windows
+            found = [known[w] if w in known else self.window(w) for w in self.split(" " + text)]
+            self.trim()
+        if found is None or None in found:
+            a, b = self.tokens(text)
+            if not a:
+                return 0, 0, 0, "", _NO_LINKS, _NO_LINKS
+            found = [self._align(*window) for window in self.cut(a, b)]
+        n = sum([f[0] for f in found])
+        groups = ";".join([f[1] for f in found])
+        links = np.frombuffer(b"".join([f[2] for f in found]), dtype="<i8")
+        pairs, times = np.unique(links, return_counts=True)
+        return n >> 32, n & _LOW, groups.count("|"), hashlib.sha256(groups.encode()).hexdigest(), pairs, times
+
     def document(self, text: str | None) -> tuple[int, int, int, str, Counter]:
         """n_a, n_b, n_groups, groups_sha256 and the links of one text."""
-        a, b = self.tokens(text)
-        if not a:
-            return 0, 0, 0, "", Counter()
-        digest, links, n_groups = hashlib.sha256(), Counter(), 0
-        for window in self.cut(a, b):
-            groups, found = self.align(*window)
-            for ga, gb in groups:
-                if n_groups:
-                    digest.update(b";")
-                digest.update(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}".encode())
-                n_groups += 1
-            links.update(found)
-        return len(a), len(b), n_groups, digest.hexdigest(), links
-
-
-def _ends(lengths: list[int]) -> list[int]:
-    out, at = [], 0
-    for n in lengths:
-        at += n
-        out.append(at)
-    return out
-
-
-def _grouped(tokens, ends: list[int], shared: set[int]) -> list[tuple[int, ...]]:
-    """Tokens cut after every shared end."""
-    groups, current = [], []
-    for token, end in zip(tokens, ends, strict=True):
-        current.append(token)
-        if end in shared:
-            groups.append(tuple(current))
-            current = []
-    return groups
+        *counts, pairs, times = self.measure(text)
+        links = {(p >> 32, p & _LOW): m for p, m in zip(pairs.tolist(), times.tolist(), strict=True)}
+        return *counts, Counter(links)
 
 
 @functools.cache
@@ -162,7 +226,9 @@ def aligner(byte_bpe: str, piece_bpe: str) -> Aligner:
     return Aligner(byte_bpe, piece_bpe)
 
 
-DOCUMENT = "n_a long, n_b long, n_groups long, groups_sha256 string, links array<struct<a:long,b:long,m:long>>"
+DOCUMENT = "n_a long, n_b long, n_groups long, groups_sha256 string, links array<struct<pair:long,m:long>>"
+#: Links that are handed to Spark together.
+BATCH_LINKS = 1 << 20
 
 
 def align_documents(
@@ -186,38 +252,60 @@ def align_documents(
 
     def aligned(batches):
         tool = aligner(byte_bpe, piece_bpe)
-        for batch in batches:
-            rows = [tool.document(t) for t in batch.column(1).to_pylist()]
-            n_a, n_b, n_g, sha, links = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
+
+        def out(ids, rids, rows):
+            n_a, n_b, n_g, sha, pairs, times = zip(*rows, strict=True)
+            offsets = np.concatenate(([0], np.cumsum([len(p) for p in pairs])))
+            links = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(pairs), pa.int64()), pa.array(np.concatenate(times), pa.int64())],
+                ["pair", "m"],
+            )
+            return pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(2),
+                    ids,
+                    rids,
                     pa.array(n_a, pa.int64()),
                     pa.array(n_b, pa.int64()),
                     pa.array(n_g, pa.int64()),
                     pa.array(sha, pa.string()),
-                    pa.array(
-                        [[{"a": x, "b": y, "m": m} for (x, y), m in found.items()] for found in links],
-                        pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int64())])),
-                    ),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), links),
                 ],
                 ["doc_id", rid, "n_a", "n_b", "n_groups", "groups_sha256", "links"],
             )
 
+        for batch in batches:
+            rows, size, begin = [], 0, 0
+            for text in batch.column(1):
+                rows.append(tool.measure(text.as_py()))
+                size += len(rows[-1][4])
+                if size >= BATCH_LINKS:
+                    yield out(batch.column(0).slice(begin, len(rows)), batch.column(2).slice(begin, len(rows)), rows)
+                    rows, size, begin = [], 0, begin + len(rows)
+            if rows:
+                yield out(batch.column(0).slice(begin), batch.column(2).slice(begin), rows)
+
     # Written once: row numbers and tokens stay fixed when a task runs again.
     per_doc = stored(source.mapInArrow(aligned, f"doc_id {kind}, {rid} long, {DOCUMENT}"), "aligned")
-    links = per_doc.select(rid, F.explode("links").alias("l")).select(rid, "l.a", "l.b", "l.m")
     # A pair once per document that links it; partial counts before the shuffle.
-    counts = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pair_count"))
-    best = counts.groupBy("a").agg(F.max("pair_count").alias("best_count"))
-    pairs = counts.join(best, "a")
+    counts = per_doc.select(F.explode("links.pair").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("pair_count"))
+    first = F.shiftright("pair", 32)
+    best = counts.groupBy(first.alias("a")).agg(F.max("pair_count").alias("best_count"))
+    pairs = stored(
+        counts.withColumn("a", first)
+        .join(best, "a")
+        .select("pair", "pair_count", (F.col("pair_count") == F.col("best_count")).alias("is_best")),
+        "pair-counts",
+    )
+    if pairs.count() <= BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
     scored = (
-        links.join(pairs, ["a", "b"])
+        per_doc.select(rid, F.explode("links").alias("l"))
+        .select(rid, "l.pair", "l.m")
+        .join(pairs, "pair")
         .groupBy(rid)
         .agg(
             F.sum("m").alias("n_links"),
-            F.sum(F.when(F.col("pair_count") == F.col("best_count"), F.col("m")).otherwise(0)).alias("n_best"),
+            F.sum(F.when(F.col("is_best"), F.col("m")).otherwise(0)).alias("n_best"),
             F.sum(F.col("m") * F.col("pair_count")).alias("count_sum"),
         )
     )
