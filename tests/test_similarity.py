@@ -140,3 +140,61 @@ def test_no_nested_loop_in_similarity_join(spark):
     df = spark.createDataFrame([("a",)], "a string")
     plan = similar_pairs(df, df.select(F.col("a").alias("b")), 0.9)._jdf.queryExecution().executedPlan()
     assert "NestedLoop" not in plan.toString() and "Cartesian" not in plan.toString()
+
+
+def test_bound_follows_the_common_prefix(spark):
+    """Without equal first characters Jaro alone has to exceed the threshold."""
+    pairs = [("onen", "tionen"), ("tionon", "tionen"), ("xcme", "acme"), ("ab", "abc"), ("abc", "abc"), ("", "a")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.selectExpr(may_reach_jaro_winkler("a", "b", 0.9)).collect()]
+    assert got == [False, True, False, True, True, False]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_short_list_equals_signatures(spark, monkeypatch, limit):
+    monkeypatch.setattr("urltriage.operators.mentions.LITERALS", limit)
+    left, right = words(21, 200, "abcdeé1."), words(22, 20, "abcdeé1.")
+    a = spark.createDataFrame([(x,) for x in left] + [(None,), ("",)], "a string")
+    b = spark.createDataFrame([(x,) for x in right] + [(None,), ("",), (right[0],)], "b string")
+    found = similar_pairs(a, b, 0.8, 0.7, 3)
+    assert ("xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString()) == (limit > 0)
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    # Single-byte stand-in: the comparison engine counts bytes.
+    plain = {x.replace("é", "E"): x for x in [*left, *right]}
+    condition = (
+        "(jaro_winkler_similarity(a, b) > 0.8 or 1 - levenshtein(a, b) / greatest(length(a), length(b)) > 0.7) "
+        "and abs(length(a) - length(b)) <= 3"
+    )
+    want = brute([x.replace("é", "E") for x in left], sorted({x.replace("é", "E") for x in right}), condition)
+    assert len(got) == len(set(got)) and set(got) == {(plain[x], plain[y]) for x, y in want} and got
+
+
+RUN_TEXTS = [
+    (1, "station the nation the On The on the, on\tthe on  the"),
+    (2, "on the on the onthe on thé éon the _on the"),
+    (3, "x!a!a!b y!a!b!a!c yahoo!yahoo!x on the yahoo!"),
+    (3, "x!a!a!b y!a!b!a!c yahoo!yahoo!x on the yahoo!"),
+    (3, "on the a+b \\E a+b. c++ c++d"),
+    (4, "station the"),
+    (None, "of and the of and the"),
+    (None, "the the the of and"),
+    (5, "the the the the the"),
+]
+RUN_BRANDS = ["on the", "of and the", "!a!", "yahoo!", "a+b", "c++", "the the", "!!!", "\\E a", "the"]
+
+
+def test_runs_equal_those_of_every_text(spark, monkeypatch):
+    """A search for the brands decides which texts are cut into runs; it changes no result."""
+    texts = spark.createDataFrame(RUN_TEXTS, "id int, text string")
+    brands = spark.createDataFrame([(b,) for b in RUN_BRANDS], "brand string")
+    results = {}
+    for limit in (32, 0):
+        monkeypatch.setattr("urltriage.operators.mentions.LITERALS", limit)
+        found = brand_mentions(texts, brands, "id", "text")
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert ("CASE WHEN" in plan.split("posexplode")[1] and "RLIKE" in plan) == (limit > 0)
+        results[limit] = sorted(map(str, found.collect()))
+    assert results[32] == results[0]
+    got = {(r["id"], r["brand"]): r["mentions"] for r in found.collect()}
+    assert got[(1, "on the")] == 2 and got[(2, "on the")] == 3 and got[(5, "the the")] == 2
+    assert got[(None, "of and the")] == 2 and got[(3, "c++")] == 1 and (4, "on the") not in got

@@ -20,11 +20,11 @@ def levenshtein_similarity(a: str, b: str) -> str:
     return f"CASE WHEN {longest} = 0 THEN 1D ELSE 1D - levenshtein({a}, {b}) / {longest} END"
 
 
-def required_jaro(min_jw: float) -> float:
-    """Least Jaro value from which the prefix boost can still exceed ``min_jw``."""
+def required_jaro(min_jw: float, prefix: int = MAX_PREFIX) -> float:
+    """Least Jaro value from which the boost of a common prefix can still exceed ``min_jw``."""
     if not BOOST_ABOVE < min_jw <= 1.0:
         raise ValueError("the bound holds for thresholds above 0.7 only")
-    boost = PREFIX_WEIGHT * MAX_PREFIX
+    boost = PREFIX_WEIGHT * prefix
     return (min_jw - boost) / (1.0 - boost)
 
 
@@ -32,16 +32,20 @@ def may_reach_jaro_winkler(a: str, b: str, min_jw: float) -> str:
     """False only for pairs that cannot exceed ``min_jw``.
 
     Characters of one side that occur at all on the other bound the number of
-    matches m from above, and Jaro is at most (m/|a| + m/|b| + 1) / 3.
+    matches m from above, and Jaro is at most (m/|a| + m/|b| + 1) / 3.  The
+    fewer first characters are equal, the higher Jaro has to be.  Lengths and
+    prefixes go first: most pairs end there.  Nothing is divided by a length.
     """
     common_a = f"length({a}) - length(translate({a}, {b}, ''))"
     common_b = f"length({b}) - length(translate({b}, {a}, ''))"
-    m = f"least({common_a}, {common_b})"
-    least_sum = 3.0 * required_jaro(min_jw) - 1.0 - 1e-9
-    return (
-        f"(length({a}) > 0 AND length({b}) > 0 AND "
-        f"{m} * (1D / length({a}) + 1D / length({b})) > {least_sum!r}D)"
+    least = [f"{3.0 * required_jaro(min_jw, p) - 1.0 - 1e-9!r}D" for p in range(MAX_PREFIX + 1)]
+    differ = " ".join(f"WHEN left({a}, {p + 1}) != left({b}, {p + 1}) THEN {least[p]}" for p in range(MAX_PREFIX))
+    least_sum = f"CASE {differ} ELSE {least[MAX_PREFIX]} END"
+    enough = " AND ".join(
+        f"({m}) * (1D * length({a}) + length({b})) > ({least_sum}) * length({a}) * length({b})"
+        for m in (f"least(length({a}), length({b}))", common_b, common_a)
     )
+    return f"({enough})"
 
 
 def jaro_winkler(a: str, b: str) -> str:

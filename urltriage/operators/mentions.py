@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import operator
+import re
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from urltriage.functions.similarity import (
@@ -21,6 +25,8 @@ BROADCAST_ROWS = 500_000
 # Keyed rows of the shorter list that are sent to all tasks at most; a value of
 # 8 characters has some 50 keys, one of 60 characters some 10,000.
 BROADCAST_KEYS = 500_000
+# Lists up to this length become literals that are compared with every value or text.
+LITERALS = 32
 
 
 def _need(own: Column, other: Column, min_jw: float, min_lev: float | None) -> Column:
@@ -117,7 +123,8 @@ def similar_pairs(
     the shorter list (its lengths and size are read first).  It is an exact
     equi-join on character signatures (no cross join, no cap), followed by a
     cheap bound and then the distances.  A short right side is broadcast; else
-    Spark joins by shuffle.  Returns both values, ``jw``, ``lev``.
+    Spark joins by shuffle.  Up to ``LITERALS`` values cost less than the
+    signatures: the bound meets each of them.  Returns both values, ``jw``, ``lev``.
     """
     lname, rname = left.columns[0], right.columns[0]
 
@@ -134,14 +141,20 @@ def similar_pairs(
         left_lengths = list(range(max(reach[0], 1), reach[1] + 1))
     else:
         left_lengths = sorted(_lengths(lefts, lname)) or [0]
-    # Making keys is heavy per row and the values are few bytes, so adaptive
+    # The work is heavy per row and the values are few bytes, so adaptive
     # execution would merge them into too few tasks.
     lefts = lefts.repartition(_tasks(left))
-    keyed_left = _keyed(lefts, lname, "_ll", "_lr", right_lengths, *bounds)
-    keyed_right = _keyed(rights, rname, "_lr", "_ll", left_lengths, *bounds)
-    if keyed_right.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keyed_right = F.broadcast(keyed_right)
-    pairs = keyed_left.join(keyed_right, ["_ll", "_lr", "_k"])
+    if sum(by_length.values()) <= LITERALS:
+        listed = F.array(*[F.lit(r[rname]) for r in rights.collect()]).cast("array<string>")
+        pairs = lefts.withColumn(rname, F.explode(listed))
+        if max_len_diff is not None:
+            pairs = pairs.filter(F.abs(F.length(lname) - F.length(rname)) <= max_len_diff)
+    else:
+        keyed_left = _keyed(lefts, lname, "_ll", "_lr", right_lengths, *bounds)
+        keyed_right = _keyed(rights, rname, "_lr", "_ll", left_lengths, *bounds)
+        if keyed_right.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+            keyed_right = F.broadcast(keyed_right)
+        pairs = keyed_left.join(keyed_right, ["_ll", "_lr", "_k"])
     a, b = f"`{lname}`", f"`{rname}`"
     plausible = may_reach_jaro_winkler(a, b, min_jw)
     if min_lev is not None:
@@ -196,6 +209,19 @@ def _form_pattern(words: int, lead: bool, trail: bool) -> str:
     return f"{start}(?=({body})(?!{WORD}))"
 
 
+def _holds_run(low: Column, forms: list[Row]) -> Column:
+    """False only for lower-case texts that have none of these brands as whole words."""
+
+    def one(form: Row) -> Column:
+        brand = re.escape(form["brand"])
+        # The brand goes first in the pattern: a plain search, which most texts end with.
+        start = "" if form["_lead"] else f"(?<!{WORD}{brand})"
+        end = "" if form["_trail"] else f"(?!{WORD})"
+        return F.contains(low, F.lit(form["brand"])) & low.rlike(f"{brand}{end}{start}")
+
+    return functools.reduce(operator.or_, map(one, forms))
+
+
 def brand_mentions(
     texts: DataFrame,
     brands: DataFrame,
@@ -215,16 +241,13 @@ def brand_mentions(
     the count allows, so that the words of the texts are not shuffled.
     """
     spark = texts.sparkSession
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    low = F.col("_low")
+    lowered = texts.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
     words = F.regexp_extract_all(low, F.lit(f"{WORD}+"), F.lit(0))
     names = brands.select(F.lower("brand").alias("brand")).filter(F.col("brand") != "").distinct()
 
-    def of_length(terms: Column, bounds: tuple[int, int] | None) -> Column:
-        return terms if bounds is None else F.filter(terms, lambda t: F.length(t).between(*bounds))
-
-    # Most words are too short or too long for any brand and never leave their text.
-    reach = _reach(sorted(_lengths(names, "brand")) or [0], min_jw)
-    vocabulary = texts.select(F.explode(F.array_distinct(of_length(words, reach))).alias("term")).distinct()
+    # Words too short or too long for any brand are left out by the join.
+    vocabulary = lowered.select(F.explode(F.array_distinct(words)).alias("term"))
     fuzzy = similar_pairs(vocabulary, names, min_jw).select(
         "term", "brand", F.lit(0).alias("exact"), F.lit(1).alias("fuzzy")
     )
@@ -246,17 +269,20 @@ def brand_mentions(
 
     # Brands of several words, or with punctuation at an end, need text runs of
     # their shape besides the single words.  Shapes are few by nature.
-    shapes = _brand_forms(names).select("_words", "_lead", "_trail").distinct().collect()
+    forms = _brand_forms(names).filter((F.col("_words") > 1) | F.col("_lead") | F.col("_trail"))
+    shapes = forms.select("_words", "_lead", "_trail").distinct().collect()
     runs = [
         F.regexp_extract_all(low, F.lit(_form_pattern(s["_words"], s["_lead"], s["_trail"])), F.lit(1))
         for s in shapes
-        if (s["_words"], s["_lead"], s["_trail"]) != (1, False, False)
     ]
+    if runs:
+        # Making runs is heavy per text; few texts have one of a short list of brands.
+        listed = forms.limit(LITERALS + 1).collect()
+        every = F.concat(words, *runs)
+        words = every if len(listed) > LITERALS else F.when(_holds_run(low, listed), every).otherwise(words)
     # Positions are taken before the words of other lengths are left out.
-    terms = (
-        texts.select(id_col, F.transform(F.concat(words, *runs), lambda t, i: F.struct(i.alias("_pos"), t.alias("term"))).alias("_t"))
-        .select(id_col, F.explode(F.filter("_t", lambda t: F.length(t["term"]).between(sizes[1] or 0, sizes[2] or 0))).alias("_t"))
-        .select(id_col, "_t.*")
+    terms = lowered.select(id_col, F.posexplode(words).alias("_pos", "term")).filter(
+        F.length("term").between(sizes[1] or 0, sizes[2] or 0)
     )
     found = terms.join(lookup, "term")
     exact_one = (F.col("exact") == 1) & (F.col("_size") == 1)
